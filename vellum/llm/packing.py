@@ -143,7 +143,10 @@ def configurations(hist: dict[int, int], capacity: int) -> list[tuple[dict[int,
         left = {k: v for k, v in left.items() if v}
         if sum(left.values()) > 0.9 * before:
             break
-    return out + _best_fit(left, capacity)
+    out += _best_fit(left, capacity)
+    # on a histogram of few pieces plain best fit may need fewer
+    plain = _best_fit({int(k): int(v) for k, v in hist.items() if v > 0}, capacity)
+    return min(out, plain, key=lambda confs: sum(t for _, t in confs))
 
 
 def _best_fit(left: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:

@@ -145,7 +145,7 @@ class Scorer:
                 at = np.arange(0, len(ws), WINDOW)
                 total = np.add.reduceat(np.fromiter(map(get, ws), float, len(ws)), at)
                 best = (total / np.minimum(WINDOW, len(ws) - at)).max() + self.bias
-                out[i] = 1 / (1 + np.exp(-np.clip(best, -700, 700)))
+                out[i] = 0.0 if np.isneginf(best) else 1 / (1 + np.exp(-np.clip(best, -700, 700)))
         return out
 
 

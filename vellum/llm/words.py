@@ -45,7 +45,7 @@ def shingles(hashes: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.
     for j in range(k):
         inside = at + j < size
         part = np.zeros(total, np.uint64)
-        part[: total - j] = hashes[j:] if j else hashes
+        part[: max(0, total - j)] = hashes[j:]
         h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + np.where(inside, part, np.uint64(j + 1)))
     keep = at < np.maximum(size - k + 1, 1)
     return h[keep], np.where(n > 0, np.maximum(n - k + 1, 1), 0)
