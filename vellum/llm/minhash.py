@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm import bagminhash, streams, words
+from vellum.llm import bagminhash, segments, streams, words
 from vellum.llm.components import components
 from vellum.llm.durable import checkpointed
 
@@ -35,8 +35,8 @@ SALTS = 16
 
 def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for i in range(0, len(batch), 1000):
-            b = batch.iloc[i : i + 1000]
+        for part in segments.slices(batch["text"].tolist()):
+            b = batch.iloc[part]
             h, n = words.hashed(b["text"].tolist())
             ends = np.cumsum(n)
             whole = [xxhash.xxh3_128_digest(h[e - k : e].tobytes()) for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
@@ -46,11 +46,13 @@ def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _multisets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        h, n = words.hashed(b["text"].tolist())
-        e, k = words.shingles(h, n, SHINGLE)
-        ends = np.cumsum(k)
-        yield pd.DataFrame({"id": b["id"], "bag": [np.sort((e[x - y : x] >> np.uint64(32)).astype(np.uint32)).tobytes() for x, y in zip(ends.tolist(), k.tolist(), strict=True)]})
+    for batch in batches:
+        for part in segments.slices(batch["text"].tolist()):
+            b = batch.iloc[part]
+            h, n = words.hashed(b["text"].tolist())
+            e, k = words.shingles(h, n, SHINGLE)
+            ends = np.cumsum(k)
+            yield pd.DataFrame({"id": b["id"], "bag": [np.sort((e[x - y : x] >> np.uint64(32)).astype(np.uint32)).tobytes() for x, y in zip(ends.tolist(), k.tolist(), strict=True)]})
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> float:

@@ -44,7 +44,11 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
+    def __call__(self, texts: list[str]) -> Iterator[bytes]:
+        for s in segments.slices(texts):
+            yield from self._of(texts[s])
+
+    def _of(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > segments.CACHE_ENTRIES:
             self.known = {}
         cut = [segments.split(t) for t in texts]

@@ -2,10 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 #: Every white-space character but the two that separate words in ordinary text.
 ODD_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 RUNS = ("  ", "\n\n", " \n", "\n ", "\0")
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 400_000
+#: Texts are split into words for about so many characters at a time: the words take many times the room of the text.
+SLICE_CHARS = 1 << 20
+
+
+def slices(texts: list[str]) -> Iterator[slice]:
+    """Consecutive slices of about SLICE_CHARS characters, a text at least."""
+    start = chars = 0
+    for i, t in enumerate(texts):
+        chars += len(t)
+        if chars >= SLICE_CHARS:
+            yield slice(start, i + 1)
+            start, chars = i + 1, 0
+    if start < len(texts):
+        yield slice(start, len(texts))
 
 
 def split(text: str) -> list[str] | None:

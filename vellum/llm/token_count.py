@@ -92,6 +92,9 @@ class Counter:
         return [text], 0
 
     def __call__(self, texts: list[str]) -> list[int]:
+        return [n for s in segments.slices(texts) for n in self._of(texts[s])]
+
+    def _of(self, texts: list[str]) -> list[int]:
         if len(self.words) > segments.CACHE_ENTRIES or len(self.segments) > segments.CACHE_ENTRIES:
             self.words, self.segments = {}, {}
         cut = [segments.split(t) for t in texts]

@@ -130,6 +130,9 @@ class Scorer:
         self.weights, self.bias, self.known = weights, bias, {}
 
     def __call__(self, texts: list[str]) -> np.ndarray:
+        return np.concatenate([self._of(texts[s]) for s in segments.slices(texts)]) if texts else np.zeros(0)
+
+    def _of(self, texts: list[str]) -> np.ndarray:
         words = [t.split() for t in texts]
         if len(self.known) > segments.CACHE_ENTRIES:
             self.known = {}
