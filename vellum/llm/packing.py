@@ -30,6 +30,7 @@ from vellum.llm.durable import checkpointed
 #: Rounds of multiplicative weights in one solution, and the residue packed without another.
 ROUNDS = 250
 RESIDUE = 4000
+ENDS = frozenset(".,;:!?")
 
 
 class Encoder:
@@ -52,9 +53,13 @@ class Encoder:
         if len(self.known) > segments.CACHE_ENTRIES:
             self.known = {}
         cut = [segments.split(t) for t in texts]
-        fresh = [*(set().union(*(c for c in cut if c is not None)) - self.known.keys())]
-        self.known.update(zip(fresh, self._encode(fresh), strict=True))
+        fresh = set().union(*(c for c in cut if c is not None)) - self.known.keys()
+        # between a letter and a mark behind it a pre-token always ends
+        ended = [s for s in fresh if s[-1:] in ENDS and s[-2:-1].isalpha()]
+        plain = [*((fresh.difference(ended) | {s[:-1] for s in ended} | ENDS) - self.known.keys())]
+        self.known.update(zip(plain, self._encode(plain), strict=True))
         get = self.known.__getitem__
+        self.known.update([(s, get(s[:-1]) + get(s[-1])) for s in ended])
         return [b"".join(map(get, c)) if c is not None else self._encode([t])[0] for c, t in zip(cut, texts, strict=True)]
 
 

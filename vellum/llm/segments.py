@@ -7,7 +7,7 @@ from collections.abc import Iterator
 #: Every white-space character but the two that separate words in ordinary text.
 ODD_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 RUNS = ("  ", "\n\n", " \n", "\n ", "\0")
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 600_000
 #: Texts are split into words for about so many characters at a time: the words take many times the room of the text.
 SLICE_CHARS = 1 << 20
 
