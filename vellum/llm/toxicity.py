@@ -10,14 +10,14 @@ Training reads at most `SAMPLE` labelled documents of each class, the first by a
 id, and at most `SAMPLE_WINDOWS` evenly spaced windows of each: a fixed bound, whatever the input.
 Scoring reads every text whole. Null and empty texts score 0.0; without labels of both classes so
 does everything. A document labelled twice counts as toxic if either label says so. Repeated rows
-are scored each; other columns are not read.
+are scored each, and of those with one id the sample takes the greatest text; other columns are not read.
 """
 
 from __future__ import annotations
 
 import functools
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,6 +35,8 @@ EPOCHS = 14
 #: Of the adaptive step: its size, and what counts as squared gradients seen before the first.
 RATE, START = 1.0, 1e-3
 FOLDS = 5
+#: Words whose n-grams are found at once in training.
+GRAM_SLICE = 20_000
 TRIM = ".,;:!?\"'()[]{}*&%$#@~|<>-_"
 
 
@@ -72,19 +74,28 @@ def windows(text: str) -> list[list[str]]:
     return [words[i : i + WINDOW] for i in range(0, len(words), WINDOW)]
 
 
-def train(samples: list[tuple[int, list[list[str]]]], seed: int = 11) -> tuple[np.ndarray, float]:
-    """(score of each bucket, bias) from (label, windows) pairs."""
-    samples = [s for s in samples if s[1]]
-    if len({y for y, _ in samples}) < 2:
+def train(samples: Iterable[tuple[int, list[list[str]]]], seed: int = 11) -> tuple[np.ndarray, float]:
+    """(score of each bucket, bias) from (label, windows) pairs; words become numbers as they come, so that the texts need not be held."""
+    index: dict[str, int] = {}
+    numbers, sizes, labels, counts = [], [], [], []
+    for y, ws in samples:
+        if ws:
+            numbers.append(np.array([index.setdefault(w, len(index)) for win in ws for w in win], np.int32))
+            sizes.append(np.array([len(win) for win in ws]))
+            labels.append(y)
+            counts.append(len(ws))
+    if len({*labels}) < 2:
         return np.zeros(BUCKETS), -np.inf
     rng = np.random.default_rng(seed)
-    index: dict[str, int] = {}
-    flat = np.array([index.setdefault(w, len(index)) for _, ws in samples for win in ws for w in win])
-    size = np.array([len(win) for _, ws in samples for win in ws])
-    doc = np.repeat(np.arange(len(samples)), [len(ws) for _, ws in samples])
-    label = np.array([y for y, _ in samples], float)
+    flat, size, label = np.concatenate(numbers), np.concatenate(sizes), np.array(labels, float)
+    numbers, sizes = [], []
+    doc = np.repeat(np.arange(len(label)), counts)
     begin = np.cumsum(size) - size
-    bag, bag_size = grams([*index])
+    words = [*index]
+    index = {}
+    parts = [grams(words[i : i + GRAM_SLICE]) for i in range(0, len(words), GRAM_SLICE)]
+    bag, bag_size = np.concatenate([b.astype(np.int32) for b, _ in parts]), np.concatenate([n for _, n in parts])
+    words, parts = [], []
     bag_begin = np.cumsum(bag_size) - bag_size
     embed, layer, bias = rng.normal(0, 0.01, (BUCKETS, SIZE)), rng.normal(0, 1, (SIZE, 2)), np.zeros(2)
     seen_embed, seen_layer, seen_bias = np.full((BUCKETS, SIZE), START), np.full((SIZE, 2), 1e-2), np.full(2, 1e-2)
@@ -96,8 +107,8 @@ def train(samples: list[tuple[int, list[list[str]]]], seed: int = 11) -> tuple[n
         else:
             score = rng.random(len(size))
         order = np.lexsort((-score, doc))
-        chosen = order[np.searchsorted(doc[order], np.arange(len(samples)))]
-        for at in np.array_split(rng.permutation(len(samples)), max(1, len(samples) // 128)):
+        chosen = order[np.searchsorted(doc[order], np.arange(len(label)))]
+        for at in np.array_split(rng.permutation(len(label)), max(1, len(label) // 128)):
             win = chosen[at]
             n = size[win]
             of = np.repeat(np.arange(len(at)), n)
@@ -172,8 +183,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
 
     # at most 2 * SAMPLE ids are broadcast
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).where(F.col("text").isNotNull())
-    rows = sample.select("doc_id", "text", "toxic").mapInPandas(cut, "doc_id bigint, text string, toxic int").toPandas().sort_values(["doc_id", "text"])
-    return train([(int(y), [w.split() for w in t.split("\n") if w]) for t, y in zip(rows["text"], rows["toxic"], strict=True)])
+    cuts = sample.select("doc_id", "text", "toxic").mapInPandas(cut, "doc_id bigint, text string, toxic int")
+    # rows may share an id: one each keeps the sample within its bound
+    rows = cuts.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")).toPandas().sort_values("doc_id")
+    return train((int(y), [w.split() for w in t.split("\n") if w]) for t, y in zip(rows["text"], rows["toxic"], strict=True))
 
 
 @functools.cache
