@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What counts as an image, a table row, a separator row, a formula, a marker, a heading.
@@ -124,3 +124,37 @@ def cell_escape(text: Column) -> Column:
 
 def stem(name: Column) -> Column:
     return F.regexp_replace(name, r"\.[^.]+$", "")
+
+
+def page(number: Column, text: Column) -> Column:
+    """A page's text behind its marker."""
+    return F.concat(F.lit("<!-- page "), number.cast("string"), F.lit(" -->\n\n"), text)
+
+
+def skipped(number: Column) -> Column:
+    """What stands for a page that was given up."""
+    return F.concat(F.lit("*[Page "), (number + 1).cast("string"), F.lit(" could not be processed and was skipped.]*"))
+
+
+def title_of(column: Column) -> Column:
+    return F.initcap(F.replace(column, F.lit("_"), F.lit(" ")))
+
+
+def cells_to_tables(cells: DataFrame, *by: str) -> DataFrame:
+    """by, md: pipe tables of (by, row, col, value), row 0 the header; numbers stand right, other columns left, all padded.
+
+    Empty cells may be left out. A header without rows gives *No data*.
+    """
+    value = F.coalesce(F.col("value"), F.lit(""))
+    number = F.bool_and(F.when((F.col("row") > 0) & (value != ""), F.col("value").try_cast("double").isNotNull())).alias("number")
+    width = F.max(F.length(value) + F.when(F.col("row") == 0, 2).otherwise(0)).alias("width")
+    columns = cells.groupBy(*by, "col").agg(number, width, F.max(F.when(F.col("row") == 0, value)).alias("head"))
+    shape = columns.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("col", "number", "width", "head"))).alias("shape"))
+    rows = cells.where("row > 0").groupBy(*by, "row").agg(F.map_from_entries(F.collect_list(F.struct("col", value.alias("value")))).alias("found"))
+    padded = lambda c, v: F.when(c["number"], F.lpad(v, c["width"], F.lit(" "))).otherwise(F.rpad(v, c["width"], F.lit(" ")))
+    line = lambda parts: F.concat(F.lit("| "), F.array_join(parts, " | "), F.lit(" |"))
+    body = rows.join(shape, list(by)).withColumn("line", line(F.transform("shape", lambda c: padded(c, F.coalesce(F.element_at("found", c["col"]), F.lit(""))))))
+    lines = body.groupBy(*by).agg(F.expr("listagg(line, '\\n') WITHIN GROUP (ORDER BY row)").alias("body"))
+    rule = F.transform("shape", lambda c: F.when(c["number"], F.concat(F.repeat(F.lit("-"), c["width"] + 1), F.lit(":"))).otherwise(F.concat(F.lit(":"), F.repeat(F.lit("-"), c["width"] + 1))))
+    head = F.concat(line(F.transform("shape", lambda c: padded(c, F.coalesce(c["head"], F.lit(""))))), F.lit("\n|"), F.array_join(rule, "|"), F.lit("|\n"))
+    return shape.join(lines, list(by), "left").select(*by, F.when(F.col("body").isNull(), "*No data*").otherwise(F.concat(head, "body")).alias("md"))

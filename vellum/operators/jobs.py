@@ -58,3 +58,12 @@ def resume_state(exists: Column, running: Column, resumable: Column) -> Column:
 
 def crash_state(code: Column, has_error: Column) -> Column:
     return F.when(code == 0, "done").when(has_error, "error").otherwise("crashed")
+
+
+def delete_state(exists: Column, running: Column) -> Column:
+    return F.when(running, "running").when(exists, "deleted").otherwise("not_found")
+
+
+def pages_asked(first: Column, last: Column, total: Column) -> tuple[Column, Column]:
+    """(start, end) from 0, the end left out, of pages counted from 1; no first is the beginning, no last the end. May be empty."""
+    return F.when(first > 0, first - 1).otherwise(0).cast("bigint"), F.coalesce(F.least(last, total), total).cast("bigint")

@@ -48,3 +48,9 @@ def without_overlaps(boxes: DataFrame, page: str) -> DataFrame:
     ranked = boxes.where(whole).groupBy(page).agg(F.array_sort(F.collect_list(box)).alias("boxes"))
     keep = F.aggregate("boxes", F.slice("boxes", 1, 0), lambda acc, b: F.when(F.exists(acc, lambda k: iou(k, b) > IOU_LIMIT), acc).otherwise(F.array_append(acc, b)))
     return ranked.select(page, F.explode(keep).alias("b")).select(page, "b.ord", "b.label")
+
+
+def clamped(x1, y1, x2, y2, width, height):
+    """Corners rounded half to even, then kept within the page."""
+    inside = lambda v, most: F.greatest(F.lit(0), F.least(most, F.rint(v))).cast("int")
+    return F.struct(inside(x1, width).alias("x1"), inside(y1, height).alias("y1"), inside(x2, width).alias("x2"), inside(y2, height).alias("y2"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.functions.markdown import html_escape
+from vellum.functions.markdown import cell_escape, html_escape
 
 #: Words below are marked as doubtful; gaps in units of the mean height and width.
 LOW_CONFIDENCE = 60
@@ -65,3 +65,16 @@ def cells(words: DataFrame) -> DataFrame:
     near = F.array_min(F.transform("anchors", lambda a: F.struct(F.abs(a["anchor"] - F.col("x")).alias("d"), a["col"].alias("col"))))["col"]
     placed = rows_of(words).join(anchors, "doc_id").withColumn("col", near)
     return placed.groupBy("doc_id", "row", "col").agg(F.expr("listagg(text, ' ') WITHIN GROUP (ORDER BY x, line, word)").alias("text"))
+
+
+def table_markdown(words: DataFrame) -> DataFrame:
+    """doc_id, md: words as a pipe table, its first row the header; null under four words, two rows or two columns."""
+    grid = cells(words).withColumn("text", cell_escape(F.col("text")))
+    shape = columns_of(words).groupBy("doc_id").agg(F.count("*").cast("int").alias("n_cols"))
+    rows = grid.groupBy("doc_id", "row").agg(F.map_from_entries(F.collect_list(F.struct("col", "text"))).alias("found")).join(shape, "doc_id")
+    filled = F.transform(F.sequence(F.lit(0).cast("bigint"), (F.col("n_cols") - 1).cast("bigint")), lambda c: F.coalesce(F.element_at("found", c), F.lit("")))
+    rule = F.concat(F.lit("\n| "), F.array_join(F.array_repeat(F.lit("---"), F.col("n_cols")), " | "), F.lit(" |"))
+    line = F.concat(F.lit("| "), F.array_join(filled, " | "), F.lit(" |"), F.when(F.col("row") == 0, rule).otherwise(""))
+    tables = rows.withColumn("line", line).groupBy("doc_id").agg(F.expr("listagg(line, '\\n') WITHIN GROUP (ORDER BY row)").alias("md"), F.count("*").alias("n_rows"), F.max("n_cols").alias("n_cols"))
+    enough = words.groupBy("doc_id").agg(F.count("*").alias("n_words"))
+    return tables.join(enough, "doc_id").select("doc_id", F.when((F.col("n_words") >= 4) & (F.col("n_rows") >= 2) & (F.col("n_cols") >= 2), F.col("md")).alias("md"))

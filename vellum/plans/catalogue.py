@@ -8,15 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions import markdown as md
 from vellum.operators import jobs, layout, ocr
+from vellum.plans import conversion  # noqa: F401 - enters its queries
 from vellum.plans.fixtures import MD_DUCK, WORDS_DUCK, md_docs, ocr_words, table
+from vellum.plans.registry import QUERIES, SQL, big, query
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 M = f"WITH m AS ({MD_DUCK}) "
 W = f"WITH w AS ({WORDS_DUCK}) "
 #: The Markdown rules as DuckDB writes them.
@@ -29,20 +29,6 @@ TABLES = r"len(list_filter(range(1, len(string_split({0}, chr(10)))), lambda i:
 TRIM = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def big(**columns: Column) -> list[Column]:
-    return [c.cast("bigint").alias(n) for n, c in columns.items()]
-
-
 def _counted(docs: DataFrame, text: str) -> DataFrame:
     """docs with `plain` once, so that no counter repeats its patterns."""
     return docs.withColumn("plain", md.strip_markdown(F.col(text)))
@@ -138,9 +124,9 @@ def split_sections(spark, d):
 SLUG = r"CASE WHEN regexp_replace(regexp_replace(lower(trim({0})), '[^\p{{L}}\p{{N}}_\s-]', '', 'g'), '\s+', '-', 'g') = '' THEN 'section' ELSE regexp_replace(regexp_replace(lower(trim({0})), '[^\p{{L}}\p{{N}}_\s-]', '', 'g'), '\s+', '-', 'g') END"
 
 
-@query(f"SELECT doc_id, {SLUG.format('t')} AS slug FROM (SELECT doc_id, left(string_split(text, chr(10))[1], 60) AS t FROM documents) u")
+@query(f"SELECT doc_id, {SLUG.format('t')} AS slug FROM (SELECT doc_id, string_split(text, chr(10))[1] AS t FROM documents) u")
 def slugify(spark, d):
-    return table(spark, d, "documents").select("doc_id", md.slug(F.substring(F.get(F.split("text", "\n"), F.lit(0)), 1, 60)).alias("slug"))
+    return table(spark, d, "documents").select("doc_id", md.slug(F.get(F.split("text", "\n"), F.lit(0))).alias("slug"))
 
 
 TOC = SECTIONS + f", h AS (SELECT doc_id, ix, level, title, {SLUG.format('title')} AS base FROM sections WHERE ix > 0 AND level <= 3), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, base ORDER BY ix) - 1 AS k, min(level) OVER (PARTITION BY doc_id) AS top FROM h) SELECT doc_id, '## Contents' || chr(10) || chr(10) || string_agg(repeat('  ', level - top) || '- [' || title || '](#' || base || CASE WHEN k > 0 THEN '_' || k ELSE '' END || ')', chr(10) ORDER BY ix) AS toc FROM n GROUP BY doc_id"
@@ -162,9 +148,9 @@ def chunks_windowed(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(md.windows(F.col("text"), 500, 100)).alias("i", "text")).select("doc_id", (F.col("i") + 1).cast("bigint").alias("chunk_id"), "text")
 
 
-@query(r"SELECT doc_id, regexp_replace(t, '!\[([^\]]*)\]\((?:[^)]*[/\\])?([^)/\\]+)[/\\]*\)', '![\1](images/\2)', 'g') AS md FROM (SELECT doc_id, left(text, 40) || ' ![f](/tmp/x/fig_' || doc_id || '.png)' AS t FROM documents) u")
+@query(r"SELECT doc_id, regexp_replace(t, '!\[([^\]]*)\]\((?:[^)]*[/\\])?([^)/\\]+)[/\\]*\)', '![\1](images/\2)', 'g') AS md FROM (SELECT doc_id, text || ' ![f](/tmp/x/fig_' || doc_id || '.png)' AS t FROM documents) u")
 def image_src_rewrite(spark, d):
-    return table(spark, d, "documents").select("doc_id", md.relative_images(F.concat(F.substring("text", 1, 40), F.lit(" ![f](/tmp/x/fig_"), F.col("doc_id").cast("string"), F.lit(".png)"))).alias("md"))
+    return table(spark, d, "documents").select("doc_id", md.relative_images(F.concat(F.col("text"), F.lit(" ![f](/tmp/x/fig_"), F.col("doc_id").cast("string"), F.lit(".png)"))).alias("md"))
 
 
 @query(W + "SELECT doc_id, round(avg(CASE WHEN conf >= 0 THEN conf END), 1) AS mean_conf, count(*) FILTER (WHERE conf >= 0 AND conf < 60) AS low_conf_count, count(*) FILTER (WHERE conf >= 0) AS n_words FROM w GROUP BY doc_id")
