@@ -55,13 +55,20 @@ def _multisets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"id": b["id"], "bag": [np.sort((e[x - y : x] >> np.uint64(32)).astype(np.uint32)).tobytes() for x, y in zip(ends.tolist(), k.tolist(), strict=True)]})
 
 
+def counted(bag: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    return *np.unique(bag, return_counts=True), len(bag)
+
+
+def common(a: tuple[np.ndarray, np.ndarray, int], b: tuple[np.ndarray, np.ndarray, int]) -> float:
+    """Weighted Jaccard similarity of two counted multisets."""
+    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    both = np.minimum(a[1][i], b[1][j]).sum()
+    return both / (a[2] + b[2] - both)
+
+
 def overlap(a: np.ndarray, b: np.ndarray) -> float:
     """Weighted Jaccard similarity of two sorted multisets."""
-    values, counts = np.unique(a, return_counts=True)
-    others, times = np.unique(b, return_counts=True)
-    _, i, j = np.intersect1d(values, others, assume_unique=True, return_indices=True)
-    common = np.minimum(counts[i], times[j]).sum()
-    return common / (len(a) + len(b) - common)
+    return common(counted(a), counted(b))
 
 
 def _verified(threshold: float):
@@ -92,17 +99,26 @@ def _links(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
 
 
 def _near(threshold: float):
+    """Links between members of two blocks of a bucket; a pair is decided in the first bucket that both are in, where its multisets already are."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for (_, i, j), rows in streams.groups(batches, ["key", "i", "j"]):
+        for (key, i, j), rows in streams.groups(batches, ["key", "i", "j"]):
             sig = np.frombuffer(b"".join(rows["short"]), np.uint8).reshape(len(rows), -1)
-            ids, comp, block = (rows[c].to_numpy() for c in ("id", "component", "block"))
+            bands = np.stack(rows["bands"].to_list())
+            ids, comp, block, raw = (rows[c].to_numpy() for c in ("id", "component", "block", "bag"))
+            size = np.array([len(r) // 4 for r in raw])
             for x in range(len(ids)):
                 ok = (comp != comp[x]) & ((ids > ids[x]) if i == j else (block[x] == i) & (block == j))
-                if ok.any():
-                    to = np.flatnonzero(ok)
-                    to = to[(sig[to] == sig[x]).mean(1) >= threshold - SLACK]
-                    if len(to):
-                        yield pd.DataFrame({"a": np.minimum(ids[x], ids[to]), "b": np.maximum(ids[x], ids[to])})
+                to = np.flatnonzero(ok & (size >= threshold * size[x]) & (size[x] >= threshold * size))
+                to = to[(sig[to] == sig[x]).mean(1) >= threshold - SLACK]
+                if len(to):
+                    first = (bands[to] == bands[x]).argmax(1)
+                    to = to[bands[x][first] == key]
+                if len(to):
+                    own = counted(np.frombuffer(raw[x], np.uint32))
+                    to = np.array([y for y in to if common(own, counted(np.frombuffer(raw[y], np.uint32))) >= threshold], int)
+                if len(to):
+                    yield pd.DataFrame({"a": np.minimum(ids[x], ids[to]), "b": np.maximum(ids[x], ids[to])})
 
     return run
 
@@ -132,19 +148,21 @@ def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
                 apart = now.join(apart.select("key", F.col("hub.component").alias("not")), "key").where("component <> not").groupBy("key").agg(F.max(F.struct("degree", -F.col("id"), "component")).alias("hub"))
             pairs = now.join(apart.select("key", (-F.col("hub.col2")).alias("a"), F.col("hub.component").alias("of")), "key").where("component <> of").select("a", F.col("id").alias("b"))
         else:
-            left = now.join(apart.select("key"), "key").join(reps.select("id", "short").dropDuplicates(["id"]), "id")
+            left = now.join(apart.select("key"), "key").join(reps.select("id", "short", "bands").dropDuplicates(["id"]), "id").join(bags, "id")
             blocks = F.ceil(F.col("n") / BLOCK).cast("int")
             left = left.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
             left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            left = left.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "component", "block", "short")
-            pairs = left.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(_near(threshold), "a bigint, b bigint")
-        pairs = pairs.distinct()
-        if tested is not None:
-            # a pair counts as tested either way round
-            pairs = pairs.join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-        pairs = checkpointed(pairs)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = checkpointed(_links(pairs, bags, threshold))
+            left = left.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "component", "block", "short", "bands", "bag")
+            found = left.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(_near(threshold), "a bigint, b bigint")
+        if turn < HUB_ROUNDS:
+            pairs = pairs.distinct()
+            if tested is not None:
+                # a pair counts as tested either way round
+                pairs = pairs.join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
+            pairs = checkpointed(pairs)
+            tested = pairs if tested is None else tested.unionByName(pairs)
+            found = _links(pairs, bags, threshold)
+        found = checkpointed(found)
         links = found if links is None else links.unionByName(found)
         merged = components(links)
         label = members.select("id").distinct().join(merged, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
