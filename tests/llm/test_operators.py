@@ -210,6 +210,25 @@ def test_pseudonyms(spark):
     assert all(0 <= int(o) < 256 for o in got[2].text.split(" ")[0].split("."))
 
 
+def test_secrets_in_every_form(spark):
+    value, long = "f3ef4d6b2755a36d", "Ab3+/_-x" * 60
+    heads = ["password=", "token = \"", "api_key: '", "{\"secret\" : \"", "passwd:\n  ", "TOKEN\t=\t"]
+    ends = ["", "\"", "'", "\"}", "", ""]
+    texts = [f"so {h}{value}{e} it is" for h, e in zip(heads, ends, strict=True)]
+    texts += [f"token={long}", "password: correcthorse", "password = \"p@ss.w0rd!x\"", "a token is nice: so it goes", "token = \"short\""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r for r in sorted(pii.replace(df, "key", "n").collect(), key=lambda r: r.doc_id)]
+    made = set()
+    for r, h, e in zip(got, heads, ends, strict=False):
+        assert r.n == 1 and value not in r.text and r.text.startswith(f"so {h}") and r.text.endswith(f"{e} it is")
+        made.add(r.text[len(f"so {h}") : len(r.text) - len(f"{e} it is")])
+    assert len(made) == 1  # equal secrets have equal pseudonyms, whatever stands around them
+    assert got[6].n == 1 and not any(long[i : i + 16] in got[6].text[i:] for i in range(0, len(long), 8))
+    assert got[7].n == 1 and got[7].text.startswith("password: ") and "horse" not in got[7].text
+    assert got[8].n == 1 and got[8].text[:14] == texts[8][:12] + got[8].text[12] + "@" and "w0rd" not in got[8].text
+    assert [r.text for r in got[9:]] == texts[9:]
+
+
 def test_feistel_is_a_permutation(spark):
     from pyspark.sql import functions as F
 

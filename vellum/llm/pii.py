@@ -1,7 +1,8 @@
 """Format-preserving pseudonyms for personal data, by a keyed Feistel network in Spark expressions.
 
-Matches of e-mail addresses, secrets after password= and the like, IPv4 addresses, IBANs, dates,
-social security, card and phone numbers are validated (octets, mod 97, calendar, Luhn) and each is
+Matches of e-mail addresses, secrets after password=, token: " and the like (six characters or more,
+of any length, without white space), IPv4 addresses, IBANs, dates, social security, card and phone
+numbers are validated (octets, mod 97, calendar, Luhn) and each is
 turned into symbols of given radices: digits, letters, octets, or a day's two coordinates in the
 400 years from 1700. Two halves of the symbols are shifted in turn by keyed hashes of the other,
 a permutation of all values of the same format, so equal values get equal pseudonyms in every
@@ -17,11 +18,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: What stands before a secret: its name, perhaps quoted, a sign among blanks, perhaps a quote.
+SECRET = r"""(?i:password|passwd|secret|api[_-]?key|token)["']?[ \t]*[=:][ \t]*(?:\r?\n[ \t]*)?"""
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 #: In the order in which they are tried at a place.
 KINDS = {
     "email": r"(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
-    "secret": r"(?i:password|passwd|secret|api[_-]?key|token)[=:]\s?[A-Za-z0-9+/_-]{6,200}",
+    "secret": SECRET + r"""(?:"[^\s"]{6,}(?=")|'[^\s']{6,}(?=')|["']?[A-Za-z0-9+/_-]{6,})""",
     "ip": rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "date": r"(?<![\d.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?!\d|[.-]\d)",
@@ -139,8 +142,8 @@ def pseudonym(m: Column, key: str) -> Column:
     octets = F.transform(F.split(m, r"\."), lambda o: o.cast("int"))
     ip = F.array_join(F.transform(feistel(octets, F.transform(octets, lambda _: F.lit(256)), k["ip"]), lambda o: o.cast("string")), ".")
     return (
-        F.when(m.contains("@"), email)
-        .when(is_a("secret"), _tail(m, r"[A-Za-z_-]+[=:]\s?", k["secret"]))
+        F.when(m.rlike(f"^(?:{SECRET})"), _tail(m, SECRET + "[\"']?", k["secret"]))
+        .when(m.contains("@"), email)
         .when(is_a("ip"), ip)
         .when(is_a("iban"), _iban(m, k["iban"]))
         .when(is_a("date"), _date(m, k["date"]))
@@ -152,7 +155,7 @@ def pseudonym(m: Column, key: str) -> Column:
 
 def pseudonymised(text: Column, key: str) -> Column:
     """A struct of the text with pseudonyms and the number of values replaced."""
-    found = F.when(text.rlike("[0-9@=]"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
+    found = F.when(text.rlike("[0-9@=:]"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
 
     def put(matches: Column) -> Column:
         new = F.transform(matches, lambda m: pseudonym(m, key))
