@@ -158,6 +158,28 @@ def test_passages(spark, odd):
     assert substring.report(empty(spark)).count() == 0
 
 
+def test_passages_of_parts_seen_alone_before(spark):
+    rng = np.random.default_rng(5)
+    words_of = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    rows, want, nth = [], set(), 0
+    for sizes in ([40, 40], [20, 20, 20], [45, 30, 45], [25] * 4):
+        for _ in range(6):
+            parts = [words_of(n) for n in sizes]
+            whole = sum(parts, [])
+            overlapping = [whole[i : i + 40] for i in range(0, len(whole) - 20, 20)]
+            for p in parts + overlapping:
+                rows.append((nth, " ".join(words_of(30) + p + words_of(30))))
+                nth += 1
+            for copy in range(3):
+                rows.append((nth, " ".join(words_of(30) + whole + words_of(30))))
+                if copy:
+                    want.add((nth, len(whole)))
+                nth += 1
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.cut_words) for r in substring.report(df).where("n_passages > 0").collect()}
+    assert got == want
+
+
 def test_chain_takes_the_best_of_crossing_matches():
     x = np.array([0, 8, 16, 24, 30])
     y = np.array([100, 108, 40, 124, 132])
