@@ -180,6 +180,24 @@ def test_passages_of_parts_seen_alone_before(spark):
     assert got == want
 
 
+def test_fuzzy_passages(spark):
+    rng = np.random.default_rng(6)
+    words_of = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    rows, at, each = [], {}, 100
+    for alike in (0.95, 0.9, 0.85, 0.81):
+        for _ in range(each):
+            whole = words_of(80)
+            copy = [*whole]
+            for i in rng.choice(80, round(80 * (1 - alike)), replace=False):
+                copy[i] = "changed" + str(i)
+            for p in (whole, copy):
+                rows.append((len(rows), " ".join(words_of(40) + p + words_of(40))))
+            at[len(rows) - 1] = alike
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = Counter(at[r.doc_id] for r in substring.report(df).where("n_passages > 0").collect())
+    assert found[0.95] == each and found[0.9] >= 0.98 * each and found[0.85] >= 0.92 * each and found[0.81] >= 0.75 * each, found
+
+
 def test_chain_takes_the_best_of_crossing_matches():
     x = np.array([0, 8, 16, 24, 30])
     y = np.array([100, 108, 40, 124, 132])
