@@ -237,6 +237,20 @@ def test_chat_round_trip(spark):
     assert chat.formatted(df.where("conv_id = 1"), rewriting).head().rewrites_history
 
 
+def test_chat_templates_over_many_turns(spark):
+    turns = [("user" if i % 2 else "assistant", f"t{i}") for i in range(100)]
+    df = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    headed = lambda ms: "<begin>" + chat.marked(ms)
+    sliding = lambda ms: chat.marked(ms[-40:])
+    late = lambda ms: f"{len(ms) // 50}" + chat.marked(ms)
+    got = chat.formatted(df, headed).head()
+    assert got.formatted_chars == len(headed(turns)) and not got.rewrites_history and got.n_turns == 100
+    assert "".join(r.rendered for r in chat.spans(df, headed).orderBy("nth").collect()) == headed(turns)
+    for template in (sliding, late):
+        assert chat.formatted(df, template).head().rewrites_history
+        assert any(r.rewrites_history for r in chat.spans(df, template).collect())
+
+
 def test_pseudonyms(spark):
     texts = ["a 4111 1111 1111 1111, mail me@x.org", "4111111111111111 on 2024-02-29 or 31/12/1999", "10.0.0.255 and +1 (988) 555-2485", "4111111111111112 999.1.1.1 2023-02-30", None, "", "me@x.org GB82 WEST 1234 5698 7654 32", "123-45-6789 password=b7db7aa4a5fc"]
     df = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)], "doc_id long, text string, _x string")

@@ -6,9 +6,10 @@ turn's span, and an output that does not continue the one before shows a templat
 history. A second rendering with a sentinel for the text tells where in its span the text lies.
 Control strings inside roles and texts are escaped reversibly by `escape`.
 
-Conversations stream through tasks sorted by conv_id and turn, a turn at a time. Prefixes restart
-every `PAGE` turns, so a conversation of any length is rendered in time and memory in proportion;
-its rendering is that of its pages one after another.
+Conversations stream through tasks sorted by conv_id and turn, a turn at a time. Every prefix is
+rendered whole, in time that grows with the square of a conversation's turns. Only for a template
+whose attribute `concatenative` says that it renders each turn by itself, one after another, do
+prefixes restart every `PAGE` turns, which gives the same in time and memory in proportion.
 
 Null roles and texts count as empty, rows of a null conv_id as one conversation, equal turns stand in
 order of role and text, and repeated rows are turns each. Other columns are not read.
@@ -46,6 +47,14 @@ def marked(messages: list[tuple[str, str]]) -> str:
     return "".join(f"<|im_start|>{escape(role).replace(chr(10), chr(92) + 'n')}\n{escape(text)}<|im_end|>\n" for role, text in messages)
 
 
+marked.concatenative = True
+
+
+def restarts(template: Template, turns: int) -> bool:
+    """Whether a prefix of so many turns may be dropped."""
+    return turns >= PAGE and getattr(template, "concatenative", False)
+
+
 def read_back(rendered: str) -> list[tuple[str, str]]:
     """The turns of a rendering by `marked`."""
     return [(_role(r), unescape(t)) for r, t in _TURN.findall(rendered)]
@@ -83,7 +92,7 @@ class _Conversation:
         self.rendered = ""
 
     def add(self, role: str, text: str) -> None:
-        if len(self.before) >= PAGE:
+        if restarts(self.template, len(self.before)):
             self.chars += len(self.rendered)
             self.before, self.rendered = [], ""
         out, start, end, a, b, rewritten = next_span(self.template, self.before, self.rendered, role, text)
@@ -135,7 +144,7 @@ def spans(conversations: DataFrame, template: Template = marked) -> DataFrame:
         for b in batches:
             out = []
             for k, role, text in zip(b["key"], b["role"], b["text"], strict=True):
-                if k != key or len(before) >= PAGE:
+                if k != key or restarts(template, len(before)):
                     nth = 0 if k != key else nth
                     key, before, rendered = k, [], ""
                 rendered, start, end, x, y, rewritten = next_span(template, before, rendered, role, text)
