@@ -1,11 +1,15 @@
 """Byte-level BPE encoding and decoding with Spark higher-order functions.
 
-Words not met before in a task go to the JVM as byte arrays. There a fold merges, round by
-round, the adjacent pair of lowest rank, looked up in a literal rank map, until no pair has a
-rank. Python around it only splits texts into words and concatenates the words' ids. Nothing is
-shuffled: a task's memory holds at most `segments.CACHE_ENTRIES` words.
-
-Null and empty texts have no tokens; repeated rows are encoded each; other columns are not read.
+Texts become runs of word numbers; words not met before in a task go to the JVM as byte arrays.
+There a fold merges, round by round, the adjacent pair of lowest rank, looked up in a literal rank
+map, until no pair has a rank, and each word's ids are decoded by concatenating binary pieces. Python
+around it only splits texts into words, once, and strings the words' ids and bytes together. Nothing
+is shuffled. A task holds at most `segments.CACHE_BYTES` of words; then it numbers them anew.
+
+Null and empty texts have no tokens; repeated rows are encoded each; rows without a key are kept;
+other columns are not read; empty tables give no rows. A word of up to `LONG_WORD` bytes merges one
+place a round; a longer one all places of a pair at once, so its time grows with its length times
+the number of different merges in it, not with the square of its length.
 """
 
 from __future__ import annotations
@@ -23,176 +27,231 @@ from vellum.llm import bpe_tables, segments
 LONG_WORD = 64
 #: Documents travel to the JVM in bundles of about so many characters, with their new words.
 BUNDLE_CHARS = 1 << 20
-BUNDLE = "keys array<bigint>, texts array<string>, reset boolean, words array<string>, bytes array<array<int>>"
+BUNDLE = "keys array<bigint>, numbers array<binary>, reset boolean, words array<array<int>>"
+#: No symbol: beyond either end of a word; and the owner of empty slots. Ids are below both.
+NOTHING, UNOWNED = 0xFFFF, 0xFFFE
+#: A byte's neighbour is a byte or, at the end, 256.
+NEXT = 257
 
 
-def _literal(values: np.ndarray, kind: str) -> Column:
-    return F.from_json(F.lit("[" + ",".join(map(str, values.tolist())) + "]"), f"array<{kind}>")
+def _literal(values: list, kind: str) -> Column:
+    return F.from_json(F.lit("[" + ",".join(map(str, values)) + "]"), f"array<{kind}>")
 
 
 def rank_map(path: str) -> tuple[Column, Column, Column]:
-    """Literals: byte -> id; id -> displacement; slot -> left id * 2^16 + rank as an int (-1 if empty)."""
+    """Literals: byte and the next -> their rank and the first's id, as a symbol; id -> displacement; slot -> left id * 2^16 + rank."""
     _, byte_ids, (d, owner, ranks) = bpe_tables.from_ranks(path)
-    assert len(d) < 1 << 16
-    packed = np.where(owner < 0, np.int64(-1), (owner.astype(np.int64) << 16) | ranks).astype(np.uint32).view(np.int32)
-    return _literal(byte_ids, "int"), _literal(d, "int"), _literal(packed, "int")
+    assert len(d) <= UNOWNED
+    wide = np.zeros(NOTHING + 1, np.int64)
+    wide[: len(d)] = d
+    packed = np.full(len(owner) + NOTHING + 1, UNOWNED << 16, np.int64)
+    taken = owner >= 0
+    packed[: len(owner)][taken] = (owner[taken].astype(np.int64) << 16) | ranks[taken]
+    ids = np.append(byte_ids, NOTHING).astype(np.int64)
+    ranks_of = packed[wide[ids[:256, None]] + ids[None, :]] ^ (ids[:256, None] << 16)
+    symbols = (ranks_of << 31) | ids[:256, None]
+    return _literal(symbols.ravel().tolist(), "bigint"), _literal(wide.tolist(), "int"), _literal(packed.tolist(), "bigint")
+
+
+def pairs(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(each byte of all words with the next one as byte * NEXT + next, the last with 256; ends of the words, from 0)."""
+    ends = np.cumsum([0, *map(len, raw)])
+    flat = np.frombuffer(b"".join(raw), np.uint8).astype(np.int32)
+    after = np.append(flat[1:], 256)
+    after[ends[1:] - 1] = 256
+    return (flat * NEXT + after).astype(np.int32), ends.astype(np.int32)
+
+
+def pieces(path: str) -> Column:
+    """Literal: id -> its bytes, as hexadecimal digits."""
+    return _literal([f'"{t.hex()}"' for t in bpe_tables.token_bytes(path)], "string")
 
 
 def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def encode_bytes(word: Column, tables: tuple[Column, Column, Column]) -> Column:
-    """The ids (array<int>) of a word's bytes (array<int>).
+def _rank(a: Column, b: Column, tables: tuple[Column, Column, Column]) -> Column:
+    """The rank of a pair of ids, or a number above all ranks: the slot's owner cancels out only if it is a."""
+    _, disp, packed = tables
+    return F.get(packed, F.get(disp, a.cast("int")) + b.cast("int")).bitwiseXOR(F.shiftleft(a.cast("bigint"), 16))
 
-    The fold's state holds the symbols and the rank of each with its right neighbour. A round
-    in a short word replaces the leftmost pair of lowest rank and looks up the two ranks beside
-    it; in a long word it replaces all places of that pair and looks up all ranks.
+
+def _leftmost(word: Column, tables: tuple[Column, Column, Column]) -> Column:
+    """Merges one place a round.
+
+    A symbol is one number: 32 bits for its rank with its right neighbour, 15 for the place of its first byte, 16 for
+    its id. So the least number is the leftmost pair of lowest rank.
     """
-    byte_ids, disp, packed = tables
-    none = F.lit(bpe_tables.NO_RANK)
+    none, low = F.lit(1 << 47), F.lit((1 << 31) - 1)  # a rank of 2^16; place and id
+    own = lambda x: F.coalesce(x.bitwiseAND(F.lit(NOTHING)), F.lit(NOTHING))
+
+    def step(s: Column, _: Column) -> Column:
+        def merged(m: Column) -> Column:
+            new = F.shiftright(m, 31)
 
-    def rank(a: Column, b: Column) -> Column:
-        # beyond either end a symbol is null, and so has no rank
-        slot = F.get(packed, F.get(disp, a) + b)
-        return _let(slot, lambda p: F.when(F.shiftrightunsigned(p, 16) == a, p.bitwiseAND(F.lit(0xFFFF))).otherwise(none))
+            def put(at: Column) -> Column:  # the pair is the symbols at - 1 and at, counted from 0
+                before, after = F.get(s, at - 2), F.get(s, at + 1)
+                left = F.shiftleft(_rank(own(before), new, tables), 31).bitwiseOR(before.bitwiseAND(low))
+                joined = F.shiftleft(_rank(new, own(after), tables), 31).bitwiseOR(m.bitwiseAND(F.lit(0x7FFF << 16))).bitwiseOR(new)
+                placed = F.transform(s, lambda x, i: F.when(i < at - 2, x).when(i > at, x).when(i == at - 1, joined).when(i == at, F.lit(-1).cast("bigint")).otherwise(left))
+                return F.filter(placed, lambda x: x >= 0)
+
+            return F.when(m >= none, s).otherwise(_let(F.array_position(s, m).cast("int"), put))
+
+        return _let(F.array_min(s), merged)
+
+    start = F.transform(word, lambda pair, i: F.get(tables[0], pair) + F.shiftleft(i.cast("bigint"), 16))
+    return F.aggregate(F.sequence(F.lit(2), F.greatest(F.size(word), F.lit(2))), start, step, lambda s: F.transform(s, lambda x: own(x).cast("int")))
+
+
+def _everywhere(word: Column, tables: tuple[Column, Column, Column]) -> Column:
+    """Merges all places of the pair of lowest rank each round; of overlapping places the first, third, ... count."""
+    none = F.lit(1 << 16)
 
     def ranks_of(ids: Column) -> Column:
-        return F.transform(ids, lambda a, i: rank(a, F.get(ids, i + 1)))
-
-    def state(ids: Column, ranks: Column, low: Column) -> Column:
-        return F.struct(ids.alias("ids"), ranks.alias("ranks"), low.alias("low"))
-
-    def leftmost(s: Column, at: Column) -> Column:
-        ids, ranks, m = s["ids"], s["ranks"], s["low"]
-        before, after = F.get(ids, at - 2), F.get(ids, at + 1)
-        head = F.when(at > 1, F.concat(F.slice(ranks, 1, at - 2), F.array(rank(before, m)))).otherwise(F.slice(ranks, 1, 0))
-        return state(
-            F.concat(F.slice(ids, 1, at - 1), F.array(m), F.slice(ids, at + 2, F.size(ids))),
-            F.concat(head, F.array(rank(m, after)), F.slice(ranks, at + 2, F.size(ids))),
-            m,
-        )
+        return F.transform(ids, lambda a, i: _rank(a, F.coalesce(F.get(ids, i + 1), F.lit(NOTHING)), tables))
 
-    def everywhere(s: Column) -> Column:
-        ids, ranks, m = s["ids"], s["ranks"], s["low"]
-        # 1 where a merge begins; of overlapping places the first, third, ... count
-        marks = F.split(F.regexp_replace(F.array_join(F.transform(ranks, lambda r: F.when(r == m, F.lit("1")).otherwise(F.lit("0"))), ""), "11", "1x"), "")
+    def state(ids: Column) -> Column:
+        return _let(ranks_of(ids), lambda r: F.struct(ids.alias("ids"), r.alias("ranks"), F.coalesce(F.array_min(r), none).alias("low")))
+
+    def step(s: Column, _: Column) -> Column:
+        ids, m = s["ids"], s["low"]
+        marks = F.split(F.regexp_replace(F.array_join(F.transform(s["ranks"], lambda r: F.when(r == m, F.lit("1")).otherwise(F.lit("0"))), ""), "11", "1x"), "")
         kept = _let(
             marks,
             lambda k: F.filter(
-                F.transform(ids, lambda x, i: F.when(F.get(k, i) == "1", m).when((i > 0) & (F.get(k, i - 1) == "1"), F.lit(-1)).otherwise(x)),
+                F.transform(ids, lambda x, i: F.when(F.get(k, i) == "1", m.cast("int")).when((i > 0) & (F.get(k, i - 1) == "1"), F.lit(-1)).otherwise(x)),
                 lambda x: x >= 0,
             ),
         )
-        return _let(kept, lambda x: state(x, ranks_of(x), m))
+        return F.when(m >= none, s).otherwise(_let(kept, state))
 
-    def step(s: Column, _: Column) -> Column:
-        merged = F.when(F.size(s["ids"]) > LONG_WORD, everywhere(s)).otherwise(_let(F.array_position(s["ranks"], s["low"]).cast("int"), lambda at: leftmost(s, at)))
-        return F.when(s["low"] == none, s).otherwise(_let(merged, lambda t: state(t["ids"], t["ranks"], F.array_min(t["ranks"]))))
-
-    start = _let(F.transform(word, lambda b: F.get(byte_ids, b)), lambda ids: _let(ranks_of(ids), lambda r: state(ids, r, F.coalesce(F.array_min(r), none))))
+    start = _let(F.transform(word, lambda pair: F.get(tables[0], pair).bitwiseAND(F.lit(NOTHING)).cast("int")), state)
     return F.aggregate(F.sequence(F.lit(2), F.greatest(F.size(word), F.lit(2))), start, step, lambda s: s["ids"])
 
 
+def encode_bytes(word: Column, tables: tuple[Column, Column, Column]) -> Column:
+    """The ids (array<int>) of a word's bytes, each with the next one as in `pairs` (array<int>)."""
+    return F.when(F.size(word) > LONG_WORD, _everywhere(word, tables)).otherwise(_leftmost(word, tables))
+
+
+def decode(ids: Column, spelled: Column) -> Column:
+    """The bytes (binary) of an array of ids, by the literal `pieces`; time grows with their number."""
+    return F.unhex(F.array_join(F.transform(ids, lambda x: F.get(spelled, x)), ""))
+
+
 def encode_all(words: Column, tables: tuple[Column, Column, Column]) -> Column:
     """The ids of each word of an array; the literals are bound once, as lambda variables."""
     byte_ids, disp, packed = tables
     return _let(byte_ids, lambda b: _let(disp, lambda d: _let(packed, lambda p: F.transform(words, lambda w: encode_bytes(w, (b, d, p))))))
 
 
+def decode_all(ids: Column, spelled: Column) -> Column:
+    """The bytes of each of an array of arrays of ids."""
+    return _let(spelled, lambda s: F.transform(ids, lambda x: decode(x, s)))
+
+
+class _Numbers(dict):
+    """segment -> the numbers of its words, as bytes; new words are numbered as they come."""
+
+    def __init__(self, find) -> None:
+        super().__init__()
+        self.find, self.inner, self.fresh, self.count, self.bytes = find, {}, [], 0, 0
+
+    def _new(self, word: str) -> bytes:
+        self.fresh.append(word)
+        self.bytes += len(word) + segments.ENTRY_BYTES
+        self.count += 1
+        return (self.count - 1).to_bytes(4, "little")
+
+    def _number(self, word: str) -> bytes:
+        n = self.get(word)
+        if n is None or len(n) != 4:  # not met as a segment that is this one word
+            n = self.inner.get(word)
+            if n is None:
+                n = self.inner[word] = self._new(word)
+        return n
+
+    def __missing__(self, segment: str) -> bytes:
+        found = self.find(segment)
+        if len(found) == 1 and found[0] == segment:
+            out = self.inner.get(segment) or self._new(segment)
+        else:
+            out = b"".join(map(self._number, found))
+            self.bytes += len(segment) + len(out) + segments.ENTRY_BYTES
+        self[segment] = out
+        return out
+
+    def whole(self, text: str) -> bytes:
+        """The numbers of a text's words."""
+        return b"".join(map(self._number, self.find(text)))
+
+
 def _bundles(pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         find = regex.compile(pattern).findall
-        seen: set[str] = set()
-        segs: set[str] = set()
+        known = _Numbers(find)
         keys: list = []
-        texts: list = []
-        fresh: list[str] = []
+        numbers: list[bytes] = []
         n, reset = 0, True
 
         def flush():
-            raw = [w.encode("utf-8") for w in fresh]
-            flat = np.frombuffer(b"".join(raw), np.uint8).astype(np.int32)
-            ends = np.cumsum([0, *map(len, raw)]).astype(np.int32)
-            words = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+            flat, ends = pairs([w.encode("utf-8") for w in known.fresh])
+            known.fresh = []
             one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
-            return pa.RecordBatch.from_arrays([one(pa.array(keys, pa.int64())), one(pa.array(texts, pa.string())), pa.array([reset]), one(pa.array(fresh, pa.string())), one(words)], ["keys", "texts", "reset", "words", "bytes"])
+            words = one(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
+            return pa.RecordBatch.from_arrays([one(pa.array(keys, pa.int64())), one(pa.array(numbers, pa.binary())), pa.array([reset]), words], ["keys", "numbers", "reset", "words"])
 
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                text = text or ""
+            texts = batch.column(1)
+            for i, key in enumerate(batch.column(0).to_pylist()):
+                text = texts[i].as_py() or ""
+                parts = segments.split(text)
                 keys.append(key)
-                texts.append(text)
+                numbers.append(known.whole(text) if parts is None else b"".join(map(known.__getitem__, parts)))
                 n += len(text)
-                parts = segments.split(text)
-                new = set(parts if parts is not None else [text]) - segs
-                if parts is not None:
-                    segs |= new
-                for seg in new:
-                    for w in find(seg):
-                        if w not in seen:
-                            seen.add(w)
-                            fresh.append(w)
                 if n >= BUNDLE_CHARS:
                     yield flush()
-                    keys, texts, fresh, n, reset = [], [], [], 0, False
-                    if len(seen) > segments.CACHE_ENTRIES or len(segs) > segments.CACHE_ENTRIES:
-                        seen, segs, reset = set(), set(), True
+                    keys, numbers, n, reset = [], [], 0, False
+                    if known.bytes > segments.CACHE_BYTES:
+                        known, reset = _Numbers(find), True
         if keys:
             yield flush()
 
     return run
 
 
-def _assemble(pattern: str, path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        find = regex.compile(pattern).findall
-        tokens = bpe_tables.token_bytes(path)
-        known: dict[str, bytes] = {}
-        spelled: dict[str, bytes] = {}
-        for batch in batches:
-            for i in range(batch.num_rows):
-                keys, texts, reset, words, ids = (batch.column(k)[i] for k in range(5))
-                if reset.as_py():
-                    known, spelled = {}, {}
-                ids = ids.values
-                if ids is not None and len(ids):
-                    flat = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-                    at = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))])
-                    packed = flat.tobytes()
-                    for w, a, b in zip(words.as_py(), (4 * at[:-1]).tolist(), (4 * at[1:]).tolist(), strict=True):
-                        known[w] = packed[a:b]
-                out = []
-                for key, text in zip(keys.as_py(), texts.as_py(), strict=True):
-                    parts = segments.split(text)
-                    if parts is None:
-                        enc = b"".join(map(known.__getitem__, find(text)))
-                    else:
-                        try:
-                            enc = b"".join(map(spelled.__getitem__, parts))
-                        except KeyError:
-                            for s in parts:
-                                if s not in spelled:
-                                    spelled[s] = b"".join(map(known.__getitem__, find(s)))
-                            enc = b"".join(map(spelled.__getitem__, parts))
-                    decoded = b"".join(tokens[np.frombuffer(enc, "<u4")].tolist())
-                    out.append((key, len(enc) // 4, enc, decoded))
-                cols = list(zip(*out, strict=True)) or [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], ["key", "n_tokens", "ids", "decoded"])
-
-    return run
+def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ids_of: list[bytes] = []
+    bytes_of: list[bytes] = []
+    for batch in batches:
+        for i in range(batch.num_rows):
+            keys, numbers, reset, ids, spelled = (batch.column(k)[i] for k in range(5))
+            if reset.as_py():
+                ids_of, bytes_of = [], []
+            if (ids := ids.values) is not None and len(ids):
+                flat = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
+                at = (4 * np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))])).tolist()
+                ids_of += [flat[a:b] for a, b in zip(at, at[1:], strict=False)]
+                bytes_of += spelled.as_py()
+            out_ids, out_bytes = [], []
+            for of in numbers.as_py():
+                own = np.frombuffer(of, "<u4").tolist()
+                out_ids.append(b"".join(map(ids_of.__getitem__, own)))
+                out_bytes.append(b"".join(map(bytes_of.__getitem__, own)))
+            n = pa.array([len(x) // 4 for x in out_ids], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(keys.as_py(), pa.int64()), n, pa.array(out_ids, pa.binary()), pa.array(out_bytes, pa.binary())], ["key", "n_tokens", "ids", "decoded"])
 
 
 def encode(docs: DataFrame, key: str, text: str, ranks_path: str, pattern: str) -> DataFrame:
     """key, n_tokens, ids (binary, little-endian unsigned 32-bit), decoded (binary) of each row."""
     bundles = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).mapInArrow(_bundles(pattern), BUNDLE)
-    tables = rank_map(ranks_path)
-    coded = bundles.withColumn("ids", encode_all(F.col("bytes"), tables)).drop("bytes")
-    return coded.mapInArrow(_assemble(pattern, ranks_path), "key bigint, n_tokens bigint, ids binary, decoded binary")
+    coded = bundles.withColumn("ids", encode_all(F.col("words"), rank_map(ranks_path))).drop("words")
+    spelled = coded.withColumn("spelled", decode_all(F.col("ids"), pieces(ranks_path)))
+    return spelled.mapInArrow(_assemble, "key bigint, n_tokens bigint, ids binary, decoded binary")
 
 
 def digest(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
