@@ -4,7 +4,10 @@ Texts become runs of word numbers; words not met before in a task go to the JVM
 There a fold merges, round by round, the adjacent pair of lowest rank, looked up in a literal rank
 map, until no pair has a rank, and each word's ids are decoded by concatenating binary pieces. Python
 around it only splits texts into words, once, and strings the words' ids and bytes together. Nothing
-is shuffled. A task holds at most `segments.CACHE_BYTES` of words; then it numbers them anew.
+of the texts is shuffled. A task holds at most `segments.CACHE_BYTES` of words; then it numbers them
+anew. The `VOCABULARY` most frequent words of the first `SAMPLE` texts are folded once, ahead, and
+broadcast with their ids: a store of bounded size that spares each task its commonest words and
+changes no result.
 
 Null and empty texts have no tokens; repeated rows are encoded each; rows without a key are kept;
 other columns are not read; empty tables give no rows. A word of up to `LONG_WORD` bytes merges one
@@ -14,6 +17,8 @@ the number of different merges in it, not with the square of its length.
 
 from __future__ import annotations
 
+import functools
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +33,8 @@ LONG_WORD = 64
 #: Documents travel to the JVM in bundles of about so many characters, with their new words.
 BUNDLE_CHARS = 1 << 20
 BUNDLE = "keys array<bigint>, numbers array<binary>, reset boolean, words array<array<int>>"
+#: Words folded ahead, at most `LONG_WORD` bytes each, and the texts they are taken from.
+VOCABULARY, SAMPLE = 100_000, 4000
 #: No symbol: beyond either end of a word; and the owner of empty slots. Ids are below both.
 NOTHING, UNOWNED = 0xFFFF, 0xFFFE
 #: A byte's neighbour is a byte or, at the end, 256.
@@ -155,9 +162,9 @@ def decode_all(ids: Column, spelled: Column) -> Column:
 class _Numbers(dict):
     """segment -> the numbers of its words, as bytes; new words are numbered as they come."""
 
-    def __init__(self, find) -> None:
-        super().__init__()
-        self.find, self.inner, self.fresh, self.count, self.bytes = find, {}, [], 0, 0
+    def __init__(self, find, ahead: dict[str, bytes]) -> None:
+        super().__init__(ahead)
+        self.find, self.inner, self.fresh, self.count, self.bytes = find, {}, [], len(ahead), 0
 
     def _new(self, word: str) -> bytes:
         self.fresh.append(word)
@@ -174,7 +181,8 @@ class _Numbers(dict):
         return n
 
     def __missing__(self, segment: str) -> bytes:
-        found = self.find(segment)
+        # letters of ASCII are one word, with a blank before them or without
+        found = [segment] if segment.isascii() and segment[1:].isalpha() and (segment[0] == " " or segment[0].isalpha()) else self.find(segment)
         if len(found) == 1 and found[0] == segment:
             out = self.inner.get(segment) or self._new(segment)
         else:
@@ -188,12 +196,21 @@ class _Numbers(dict):
         return b"".join(map(self._number, self.find(text)))
 
 
-def _bundles(pattern: str):
+@functools.cache
+def _ahead(name: str) -> list:
+    """What a worker has made of the broadcast of this name."""
+    return []
+
+
+def _bundles(pattern: str, vocabulary, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         find = regex.compile(pattern).findall
-        known = _Numbers(find)
+        ahead = _ahead(f"words {name}")
+        if not ahead:
+            ahead.append({w: i.to_bytes(4, "little") for i, w in enumerate(vocabulary.value[0])})
+        known = _Numbers(find, ahead[0])
         keys: list = []
         numbers: list[bytes] = []
         n, reset = 0, True
@@ -217,41 +234,92 @@ def _bundles(pattern: str):
                     yield flush()
                     keys, numbers, n, reset = [], [], 0, False
                     if known.bytes > segments.CACHE_BYTES:
-                        known, reset = _Numbers(find), True
+                        known, reset = _Numbers(find, ahead[0]), True
         if keys:
             yield flush()
 
     return run
 
 
-def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    ids_of: list[bytes] = []
-    bytes_of: list[bytes] = []
-    for batch in batches:
-        for i in range(batch.num_rows):
-            keys, numbers, reset, ids, spelled = (batch.column(k)[i] for k in range(5))
-            if reset.as_py():
-                ids_of, bytes_of = [], []
-            if (ids := ids.values) is not None and len(ids):
-                flat = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
-                at = (4 * np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))])).tolist()
-                ids_of += [flat[a:b] for a, b in zip(at, at[1:], strict=False)]
-                bytes_of += spelled.as_py()
-            out_ids, out_bytes = [], []
-            for of in numbers.as_py():
-                own = np.frombuffer(of, "<u4").tolist()
-                out_ids.append(b"".join(map(ids_of.__getitem__, own)))
-                out_bytes.append(b"".join(map(bytes_of.__getitem__, own)))
-            n = pa.array([len(x) // 4 for x in out_ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(keys.as_py(), pa.int64()), n, pa.array(out_ids, pa.binary()), pa.array(out_bytes, pa.binary())], ["key", "n_tokens", "ids", "decoded"])
+def _sliced(items: pa.Array) -> list[bytes]:
+    """The elements of an array of binaries without nulls."""
+    offsets = np.frombuffer(items.buffers()[1], np.int32)[items.offset : items.offset + len(items) + 1].tolist()
+    data = memoryview(items.buffers()[2]) if len(items) else b""
+    return [bytes(data[a:b]) for a, b in zip(offsets, offsets[1:], strict=False)]
+
+
+def _assemble(vocabulary):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, ids_ahead, bytes_ahead = vocabulary.value
+        ids_of, bytes_of = [], []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                keys, numbers, reset, ids, spelled = (batch.column(k)[i] for k in range(5))
+                if reset.as_py():
+                    ids_of, bytes_of = [*ids_ahead], [*bytes_ahead]
+                if (ids := ids.values) is not None and len(ids):
+                    ids_of += _packed(ids)
+                    bytes_of += _sliced(spelled.values)
+                out_ids, out_bytes = [], []
+                for of in numbers.as_py():
+                    own = np.frombuffer(of, "<u4").tolist()
+                    out_ids.append(b"".join(map(ids_of.__getitem__, own)))
+                    out_bytes.append(b"".join(map(bytes_of.__getitem__, own)))
+                n = pa.array([len(x) // 4 for x in out_ids], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(keys.as_py(), pa.int64()), n, pa.array(out_ids, pa.binary()), pa.array(out_bytes, pa.binary())], ["key", "n_tokens", "ids", "decoded"])
+
+    return run
+
+
+def _packed(ids: pa.ListArray) -> list[bytes]:
+    """Each array of ids as little-endian unsigned 32-bit integers."""
+    flat = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
+    at = (4 * np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))])).tolist()
+    return [flat[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+
+def _frequent(pattern: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+
+        find = regex.compile(pattern).findall
+        counts: Counter[str] = Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                counts.update(find(text or ""))
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+
+    return run
+
+
+def _vocabulary(docs: DataFrame, text: str, tables, spelled: Column, pattern: str) -> tuple[list[str], list[bytes], list[bytes]]:
+    """(words, ids, bytes) of words folded ahead; only such as the pattern leaves whole by themselves."""
+    import regex
+
+    find = regex.compile(pattern).findall
+    counts = docs.select(F.col(text).alias("text")).limit(SAMPLE).mapInArrow(_frequent(pattern), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    rows = counts.where(F.octet_length("word") <= LONG_WORD).orderBy(F.desc("n"), "word").limit(VOCABULARY).select("word").toArrow()
+    words = [w for w in rows.column(0).to_pylist() if find(w) == [w]]
+    if not words:
+        return [], [], []
+    flat, ends = pairs([w.encode("utf-8") for w in words])
+    ends = ends.tolist()
+    each = [(i, flat[a:b].tolist()) for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False))]
+    few = docs.sparkSession.createDataFrame([(i, [w for _, w in each[i : i + 1000]]) for i in range(0, len(each), 1000)], "nth int, words array<array<int>>")
+    coded = few.select("nth", encode_all(F.col("words"), tables).alias("ids"))
+    done = coded.select("nth", "ids", decode_all(F.col("ids"), spelled).alias("bytes")).toPandas().sort_values("nth")
+    ids = [np.array(x, "<u4").tobytes() for row in done["ids"] for x in row]
+    return words, ids, [bytes(x) for row in done["bytes"] for x in row]
 
 
 def encode(docs: DataFrame, key: str, text: str, ranks_path: str, pattern: str) -> DataFrame:
     """key, n_tokens, ids (binary, little-endian unsigned 32-bit), decoded (binary) of each row."""
-    bundles = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).mapInArrow(_bundles(pattern), BUNDLE)
-    coded = bundles.withColumn("ids", encode_all(F.col("words"), rank_map(ranks_path))).drop("words")
-    spelled = coded.withColumn("spelled", decode_all(F.col("ids"), pieces(ranks_path)))
-    return spelled.mapInArrow(_assemble, "key bigint, n_tokens bigint, ids binary, decoded binary")
+    tables, spelled = rank_map(ranks_path), pieces(ranks_path)
+    vocabulary = docs.sparkSession.sparkContext.broadcast(_vocabulary(docs, text, tables, spelled, pattern))
+    name = f"{docs.sparkSession.sparkContext.applicationId}-{vocabulary._jbroadcast.id()}"
+    bundles = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).mapInArrow(_bundles(pattern, vocabulary, name), BUNDLE)
+    coded = bundles.withColumn("ids", encode_all(F.col("words"), tables)).drop("words")
+    return coded.withColumn("spelled", decode_all(F.col("ids"), spelled)).mapInArrow(_assemble(vocabulary), "key bigint, n_tokens bigint, ids binary, decoded binary")
 
 
 def digest(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:

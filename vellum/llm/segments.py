@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 #: Every white-space character but the two that separate words in ordinary text.
 ODD_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+ODD_ASCII = [c for c in ODD_SPACES if c.isascii()]
 RUNS = ("  ", "\n\n", " \n", "\n ", "\0")
 CACHE_ENTRIES = 400_000
 #: What a worker may keep of words it has met, and what an entry of a dictionary takes besides its strings.
@@ -33,6 +34,6 @@ def split(text: str) -> list[str] | None:
     segments can be tokenized apart and looked up by their string. White-space runs, other
     white space and NUL make the cut unsafe; such texts are tokenized whole.
     """
-    if any(x in text for x in RUNS) or any(x in text for x in ODD_SPACES):
+    if any(x in text for x in RUNS) or any(x in text for x in (ODD_ASCII if text.isascii() else ODD_SPACES)):
         return None
     return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
