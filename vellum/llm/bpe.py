@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm import bpe_tables, segments
+from vellum.llm.wordnumbers import Numbers
 
 #: Words longer than this merge all places of a pair at once instead of the leftmost.
 LONG_WORD = 64
@@ -152,56 +153,18 @@ def decode_all(ids: Column, spelled: Column) -> Column:
     return _let(spelled, lambda s: F.transform(ids, lambda x: decode(x, s)))
 
 
-class _Numbers(dict):
-    """segment -> the numbers of its words, as bytes; new words are numbered as they come."""
-
-    def __init__(self, find) -> None:
-        super().__init__()
-        self.find, self.inner, self.fresh, self.count, self.bytes = find, {}, [], 0, 0
-
-    def _new(self, word: str) -> bytes:
-        self.fresh.append(word)
-        self.bytes += len(word) + segments.ENTRY_BYTES
-        self.count += 1
-        return (self.count - 1).to_bytes(4, "little")
-
-    def _number(self, word: str) -> bytes:
-        n = self.get(word)
-        if n is None or len(n) != 4:  # not met as a segment that is this one word
-            n = self.inner.get(word)
-            if n is None:
-                n = self.inner[word] = self._new(word)
-        return n
-
-    def __missing__(self, segment: str) -> bytes:
-        # letters of ASCII are one word, with a blank before them or without
-        found = [segment] if segment.isascii() and segment[1:].isalpha() and (segment[0] == " " or segment[0].isalpha()) else self.find(segment)
-        if len(found) == 1 and found[0] == segment:
-            out = self.inner.get(segment) or self._new(segment)
-        else:
-            out = b"".join(map(self._number, found))
-            self.bytes += len(segment) + len(out) + segments.ENTRY_BYTES
-        self[segment] = out
-        return out
-
-    def whole(self, text: str) -> bytes:
-        """The numbers of a text's words."""
-        return b"".join(map(self._number, self.find(text)))
-
-
 def _bundles(pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         find = regex.compile(pattern).findall
-        known = _Numbers(find)
+        known = Numbers(find)
         keys: list = []
         numbers: list[bytes] = []
         n, reset = 0, True
 
         def flush():
-            flat, ends = pairs([w.encode("utf-8") for w in known.fresh])
-            known.fresh = []
+            flat, ends = pairs([w.encode("utf-8") for w in known.new()])
             one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
             words = one(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
             return pa.RecordBatch.from_arrays([one(pa.array(keys, pa.int64())), one(pa.array(numbers, pa.binary())), pa.array([reset]), words], ["keys", "numbers", "reset", "words"])
@@ -210,15 +173,14 @@ def _bundles(pattern: str):
             texts = batch.column(1)
             for i, key in enumerate(batch.column(0).to_pylist()):
                 text = texts[i].as_py() or ""
-                parts = segments.split(text)
                 keys.append(key)
-                numbers.append(known.whole(text) if parts is None else b"".join(map(known.__getitem__, parts)))
+                numbers.append(known.of(text))
                 n += len(text)
                 if n >= BUNDLE_CHARS:
                     yield flush()
                     keys, numbers, n, reset = [], [], 0, False
                     if known.bytes > segments.CACHE_BYTES:
-                        known, reset = _Numbers(find), True
+                        known, reset = Numbers(find), True
         if keys:
             yield flush()
 

@@ -1,22 +1,22 @@
 """Best-fit packing of token sequences by a configuration linear program.
 
 Documents are tokenized and cut into pieces in one pass, written once. The histogram of piece
-lengths (at most `capacity` entries) goes to the driver, where a linear program over
-configurations - multisets of lengths that fit - is solved by multiplicative weights: each round
-prices lengths, a knapsack dynamic program finds the best configuration, and weights of what it
-covers shrink. Configurations are rounded down, the residue is solved again while it is large and
-packed best-fit decreasing at last. Pieces are numbered within their length from counts by
-(task, length), so no length meets in one task, and their number picks their place.
-
-Null and empty texts are the end token alone. Repeated rows are packed each. Documents over the
-capacity are cut into full pieces, the first of which may be shorter. Empty tables give no rows.
+lengths (at most `capacity` entries) goes to the driver. There the linear program over configurations
+- multisets of lengths that fit one sequence - is solved by multiplicative weights on the prices of
+lengths, with a knapsack dynamic program that finds the best configurations of a round. It is rounded
+by whole uses of configurations that the knapsack finds at these prices, so that every piece, at every
+size of table, has its place from one. Pieces are numbered within their length from counts by (task,
+length), so no length meets in one task, and their number picks their place.
+
+Null and empty texts are the end token alone. Repeated rows are packed each, and rows without an id.
+Documents over the capacity are cut into full pieces, the first of which may be shorter; a text of any
+length is tokenized whole. Other columns are not read. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
-import functools
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,52 +24,39 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm import segments
+from vellum.llm import segments, token_count
 from vellum.llm.durable import checkpointed
 
-#: Rounds of multiplicative weights in one solution, and the residue packed without another.
-ROUNDS = 250
-RESIDUE = 4000
+#: Rounds of multiplicative weights, and the weight of a round.
+ROUNDS, STEP = 40, 0.5
+#: In rounding a price counts more the longer its length, by these powers; the better result is taken.
+BENT = (0.05, 0.5)
 
 
-class Encoder:
-    """Ids of texts by the tokenizers library; keeps the ids of segments."""
+def encoding(path: str) -> Callable[[list[str]], Iterator[bytes]]:
+    """A function from texts to their ids, as little-endian unsigned 32-bit integers; it keeps those of the words it has met."""
+    words = token_count.Words(path)
+    known: list[bytes] = []
 
-    def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
+    def encode(texts: list[str]) -> Iterator[bytes]:
         for s in segments.slices(texts):
-            yield from self._of(texts[s])
+            numbers = [words.numbers.of(t) for t in texts[s]]
+            for ids, n in words.learnt():
+                flat = ids.astype("<u4").tobytes()
+                at = (4 * np.cumsum(np.append(0, n))).tolist()
+                known.extend(flat[a:b] for a, b in zip(at, at[1:], strict=False))
+            get = known.__getitem__
+            for own in numbers:
+                yield b"".join(map(get, np.frombuffer(own, "<u4").tolist()))
+            if words.full():
+                known.clear()
 
-    def _of(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > segments.CACHE_ENTRIES:
-            self.known = {}
-        cut = [segments.split(t) for t in texts]
-        fresh = [*(set().union(*(c for c in cut if c is not None)) - self.known.keys())]
-        self.known.update(zip(fresh, self._encode(fresh), strict=True))
-        get = self.known.__getitem__
-        return [b"".join(map(get, c)) if c is not None else self._encode([t])[0] for c, t in zip(cut, texts, strict=True)]
-
-
-@functools.cache
-def encoder(path: str) -> Encoder:
-    """One for each worker, so that what it learns lasts over tasks."""
-    return Encoder(path)
+    return encode
 
 
 def _pieces(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = encoder(path)
+        encode = encoding(path)  # what it keeps ends with the task
         end = np.array([end_id], "<u4").tobytes()
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for b in batches:
@@ -87,96 +74,101 @@ def _pieces(path: str, capacity: int, end_id: int):
     return run
 
 
-def _best_configuration(lengths: np.ndarray, value: np.ndarray, capacity: int) -> dict[int, int]:
-    """Unbounded knapsack over lengths (ascending)."""
-    best = np.zeros(capacity + 1)
-    took = np.full(capacity + 1, -1)
+def _knapsack(lengths: np.ndarray, price: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each room up to the capacity: the best price of lengths (ascending) that fit, and the last of them taken (-1: none)."""
+    best, took = np.zeros(capacity + 1), np.full(capacity + 1, -1)
     upto = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
-    for c in range(1, capacity + 1):
-        if k := upto[c]:
-            got = value[:k] + best[c - lengths[:k]]
-            j = int(got.argmax())
-            if got[j] > best[c - 1]:
-                best[c], took[c] = got[j], j
+    for c in range(int(lengths[0]), capacity + 1):
+        got = price[: upto[c]] + best[c - lengths[: upto[c]]]
+        j = int(got.argmax())
+        if got[j] > best[c - 1]:
+            best[c], took[c] = got[j], j
+        else:
+            best[c] = best[c - 1]
+    return best, took
+
+
+def _with(j: int, took: np.ndarray, lengths: np.ndarray, capacity: int) -> dict[int, int]:
+    """The best configuration that holds length j: index -> copies."""
+    out, room = {j: 1}, capacity - int(lengths[j])
+    while room > 0:
+        if (k := int(took[room])) < 0:
+            room -= 1
+        else:
+            out[k] = out.get(k, 0) + 1
+            room -= int(lengths[k])
+    return out
+
+
+def prices(lengths: np.ndarray, need: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
+    """(price of each length, lower bound on the sequences) of the configuration program, by multiplicative weights.
+
+    Prices start in proportion to length. In each round a knapsack finds the best configurations, one with each length;
+    those of the best price cover their lengths, and the price of a length falls by a factor for what is covered of it,
+    beside the others. Prices over that of the best configuration are a solution of the dual program, whose value no
+    packing can go below; the round with the greatest value gives the result.
+    """
+    start, cover = np.log(lengths / capacity), np.zeros(len(lengths))
+    bound, found = 0.0, lengths / capacity
+    for _ in range(ROUNDS):
+        price = np.exp(start - STEP * (cover - cover.mean()))
+        best, took = _knapsack(lengths, price, capacity)
+        if (value := (price * need).sum() / best[capacity]) > bound:
+            bound, found = value, price / best[capacity]
+        got = np.zeros(len(lengths))
+        for j in np.flatnonzero(price + best[capacity - lengths] >= best[capacity] * (1 - 1e-3)):
+            for k, copies in _with(int(j), took, lengths, capacity).items():
+                got[k] += copies * need[j]
+        cover += (got / need) / max((got / need).max(), 1e-9)
+    return found, bound
+
+
+def _rounded(lengths: np.ndarray, need: np.ndarray, price: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Whole uses of configurations: the longest length left goes with the best rest by price, as often as there are copies.
+
+    A knapsack's table serves until a configuration asks for more copies than are left; where it asks so at once, the
+    copies are cut to those left and the room goes to the longest that fit.
+    """
+    left = need.astype(np.int64)
+    out: list[tuple[dict[int, int], int]] = []
+    while left.any():
+        at = np.flatnonzero(left)
+        own = lengths[at]
+        _, took = _knapsack(own, price[at], capacity)
+        fresh, j = True, len(own) - 1
+        while j >= 0:
+            if not left[at[j]]:
+                j -= 1
                 continue
-        best[c] = best[c - 1]
-    out: dict[int, int] = {}
-    c = capacity
-    while c > 0:
-        if took[c] < 0:
-            c -= 1
-            continue
-        n = int(lengths[took[c]])
-        out[n] = out.get(n, 0) + 1
-        c -= n
+            conf = _with(j, took, own, capacity)
+            times = min(int(left[at[k]]) // copies for k, copies in conf.items())
+            if not times:
+                if not fresh:
+                    break
+                conf, times = {k: min(copies, int(left[at[k]])) for k, copies in conf.items()}, 1
+                room = capacity - sum(int(own[k]) * copies for k, copies in conf.items())
+                for k in range(int(np.searchsorted(own, room, side="right")) - 1, -1, -1):
+                    if more := min(room // int(own[k]), int(left[at[k]]) - conf.get(k, 0)):
+                        conf[k] = conf.get(k, 0) + more
+                        room -= more * int(own[k])
+            out.append(({int(own[k]): copies for k, copies in conf.items()}, times))
+            for k, copies in conf.items():
+                left[at[k]] -= copies * times
+            fresh = False
     return out
 
 
 def configurations(hist: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
     """(length -> copies, times) so that each length is used exactly hist[length] times."""
-    left = {int(k): int(v) for k, v in hist.items() if v > 0}
-    out: list[tuple[dict[int, int], int]] = []
-    if n := left.pop(capacity, 0):
-        out.append(({capacity: 1}, n))
-    while sum(left.values()) > RESIDUE:
-        lengths = np.array(sorted(left))
-        need = np.array([left[x] for x in lengths], float)
-        cover = np.zeros(len(lengths))
-        at = {int(x): i for i, x in enumerate(lengths)}
-        used: dict[tuple, float] = {}
-        bound = (lengths * need).sum() / capacity
-        eta = 6.0
-        for _ in range(ROUNDS):
-            weight = np.exp(-eta * (cover - cover.min())) / need
-            # lengths count a little too, so that of equal prices the fuller configuration wins
-            conf = _best_configuration(lengths, weight / weight.max() + 1e-9 * lengths, capacity)
-            idx = np.array([at[x] for x in conf])
-            many = np.array([*conf.values()], float)
-            step = min(bound / ROUNDS, (need[idx] / many).min())
-            key = tuple(sorted(conf.items()))
-            used[key] = used.get(key, 0.0) + step
-            cover[idx] += many * step / need[idx]
-            eta = min(60.0, eta * 1.02)
-        before = sum(left.values())
-        for key, times in sorted(used.items(), key=lambda u: (-sum(k * v for k, v in u[0]), -u[1], u[0])):
-            times = min(int(times), *(left.get(k, 0) // v for k, v in key))
-            if times > 0:
-                out.append((dict(key), times))
-                for k, v in key:
-                    left[k] -= times * v
-        left = {k: v for k, v in left.items() if v}
-        if sum(left.values()) > 0.9 * before:
-            break
-    out += _best_fit(left, capacity)
-    # on a histogram of few pieces plain best fit may need fewer
-    plain = _best_fit({int(k): int(v) for k, v in hist.items() if v > 0}, capacity)
-    return min(out, plain, key=lambda confs: sum(t for _, t in confs))
-
-
-def _best_fit(left: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Best-fit decreasing over kinds of bins: a length goes to as many of the fullest bins that take it as it fills."""
-    bins: dict[int, list[list]] = {}  # room -> [contents, times]
-    for n in sorted(left, reverse=True):
-        todo = left[n]
-        while todo:
-            room = min((r for r in bins if r >= n), default=None)
-            if room is None:
-                each = capacity // n
-                full, rest = divmod(todo, each)
-                if full:
-                    bins.setdefault(capacity - each * n, []).append([{n: each}, full])
-                if rest:
-                    bins.setdefault(capacity - rest * n, []).append([{n: rest}, 1])
-                break
-            contents, times = bins[room].pop()
-            if not bins[room]:
-                del bins[room]
-            fill = min(todo, times)
-            if fill < times:
-                bins.setdefault(room, []).append([contents, times - fill])
-            bins.setdefault(room - n, []).append([contents | {n: contents.get(n, 0) + 1}, fill])
-            todo -= fill
-    return [(c, t) for kinds in bins.values() for c, t in kinds]
+    full = hist.get(capacity, 0)
+    out = [({capacity: 1}, int(full))] if full else []
+    lengths = np.array(sorted(n for n, times in hist.items() if times and n < capacity), np.int64)
+    if not len(lengths):
+        return out
+    need = np.array([hist[n] for n in lengths.tolist()], float)
+    price, _ = prices(lengths, need, capacity)
+    tries = [_rounded(lengths, need, price * (lengths / capacity) ** bent, capacity) for bent in BENT]
+    return out + min(tries, key=lambda confs: sum(times for _, times in confs))
 
 
 def _places(confs: list[tuple[dict[int, int], int]], capacity: int) -> dict[int, tuple[np.ndarray, ...]]:

@@ -1,9 +1,9 @@
 """Token counts by rank-synchronous merging of ragged numpy arrays.
 
-Distinct pre-tokens not met before by a worker are held as one flat array of symbols with the
+Distinct pre-tokens not met before in a task are held as one flat array of symbols with the
 index of the pre-token each belongs to. Every round finds each pre-token's lowest-rank pair and
 merges it in all of them at once; what survives is counted. A text's count is the sum over its
-segments. Nothing is shuffled.
+pre-tokens. Nothing is shuffled.
 
 Null and empty texts have no tokens and no bytes; repeated rows are counted each; a text of any
 length is counted whole; other columns are not read.
@@ -11,8 +11,7 @@ length is counted whole; other columns are not read.
 
 from __future__ import annotations
 
-import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,16 +19,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm import bpe_tables, segments
+from vellum.llm.wordnumbers import Numbers
 
 CHUNK_BYTES = 1 << 20
+#: What the library calls white space: not the four separators U+001C to U+001F.
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
 
-def merge_counts(words: list[bytes], byte_ids: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
-    """The number of symbols left of each non-empty word."""
+def merge(words: list[bytes], byte_ids: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols left of all non-empty words, one word after another; their number for each)."""
     d, owner, ranks = table
     none = bpe_tables.NO_RANK
     lengths = np.array([len(w) for w in words], np.int64)
-    counts = lengths.copy()
+    counts = np.zeros(len(words), np.int64)
+    done: list[tuple[np.ndarray, np.ndarray]] = []
     ids = byte_ids[np.frombuffer(b"".join(words), np.uint8)]
     word = np.repeat(np.arange(len(words)), lengths)
     while len(ids):
@@ -38,9 +42,11 @@ def merge_counts(words: list[bytes], byte_ids: np.ndarray, table: tuple[np.ndarr
         first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
         low = np.minimum.reduceat(rank, first)
         size = np.diff(np.append(first, len(ids)))
-        counts[word[first]] = size
+        over = low == none
+        counts[word[first[over]]] = size[over]
         low = np.repeat(low, size)
         going = low < none
+        done.append((word[~going], ids[~going]))
         ids, word, rank, low = ids[going], word[going], rank[going], low[going]
         hit = rank == low
         # of overlapping places the first, third, ... merge
@@ -50,11 +56,17 @@ def merge_counts(words: list[bytes], byte_ids: np.ndarray, table: tuple[np.ndarr
         ids = np.where(hit, low, ids)
         keep = np.append(True, ~hit[:-1])[: len(ids)]
         ids, word = ids[keep], word[keep]
-    return counts
+    if not done:
+        return np.zeros(0, np.int32), counts
+    of = np.concatenate([w for w, _ in done])
+    return np.concatenate([i for _, i in done])[np.argsort(of, kind="stable")], counts
 
 
-class Counter:
-    """Counts tokens of texts as the tokenizer of a file does; keeps what it has counted."""
+class Words:
+    """Splits texts into pre-tokens as the tokenizer of a file does, and merges each distinct one once.
+
+    The file's pre-tokenizer must be the byte-level one, by its own pattern and without a blank put in front; other files are refused.
+    """
 
     def __init__(self, path: str) -> None:
         import json
@@ -62,69 +74,68 @@ class Counter:
         import regex
 
         model = json.load(open(path, encoding="utf-8"))
+        pre = model["pre_tokenizer"]
+        if pre["type"] != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or model.get("normalizer"):
+            raise ValueError(f"{path}: only byte-level tokenizers without a normalizer are counted")
         self.byte_ids, self.table = bpe_tables.from_json(path)
-        # the library's white space excludes the four separators U+001C to U+001F
-        space = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-        self.find = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{space}\p{{L}}\p{{N}}]+|[{space}]+(?![^{space}])|[{space}]+").findall
-        self.special = [t["content"] for t in model["added_tokens"]]
-        self.at_special = regex.compile("|".join(regex.escape(s) for s in self.special)).split if self.special else None
-        self.words: dict[str, int] = {}
-        self.segments: dict[str, int] = {}
-
-    def _learn(self, words: set[str]) -> None:
-        fresh = [w for w in words if w not in self.words]
-        chunk, n = [], 0
-        for w in [*fresh, None]:
-            if w is None or n > CHUNK_BYTES:
-                if chunk:
-                    found = merge_counts([x.encode("utf-8") for x in chunk], self.byte_ids, self.table)
-                    self.words.update(zip(chunk, found.tolist(), strict=True))
+        find = regex.compile(PATTERN).findall
+        self.special = {t["content"]: t["id"] for t in model["added_tokens"]}
+        if self.special:
+            cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")").split
+            self.find = lambda t: [w for i, part in enumerate(cut(t)) for w in ([part] if i % 2 else find(part))] if any(s in t for s in self.special) else find(t)
+        else:
+            self.find = find
+        self.numbers = Numbers(self.find)
+
+    def learnt(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids, their number for each) of the words numbered since the last call, in order, in chunks."""
+        chunk: list[str] = []
+        n = 0
+        for w in [*self.numbers.new(), None]:
+            if chunk and (w is None or n > CHUNK_BYTES or w in self.special):
+                yield merge([x.encode("utf-8") for x in chunk], self.byte_ids, self.table)
                 chunk, n = [], 0
-            if w is not None:
+            if w in self.special:
+                yield np.array([self.special[w]], np.int32), np.array([1])
+            elif w is not None:
                 chunk.append(w)
                 n += len(w)
 
-    def _pieces(self, text: str) -> tuple[list[str], int]:
-        """Parts free of special strings, and the number of those."""
-        if self.at_special and any(s in text for s in self.special):
-            parts = self.at_special(text)
-            return parts, len(parts) - 1
-        return [text], 0
-
-    def __call__(self, texts: list[str]) -> list[int]:
-        return [n for s in segments.slices(texts) for n in self._of(texts[s])]
-
-    def _of(self, texts: list[str]) -> list[int]:
-        if len(self.words) > segments.CACHE_ENTRIES or len(self.segments) > segments.CACHE_ENTRIES:
-            self.words, self.segments = {}, {}
-        cut = [segments.split(t) for t in texts]
-        fresh = set().union(*(c for c in cut if c is not None)) - self.segments.keys()
-        spelled = {s: self._pieces(s) for s in fresh}
-        spelled = {s: ([w for p in ps for w in self.find(p)], n) for s, (ps, n) in spelled.items()}
-        whole = {}
-        for i, c in enumerate(cut):
-            if c is None:
-                ps, n = self._pieces(texts[i])
-                whole[i] = ([w for p in ps for w in self.find(p)], n)
-        self._learn({w for ws, _ in (*spelled.values(), *whole.values()) for w in ws})
-        count = self.words.__getitem__
-        for s, (ws, n) in spelled.items():
-            self.segments[s] = sum(map(count, ws)) + n
-        known = self.segments.__getitem__
-        return [sum(map(known, c)) if c is not None else sum(map(count, whole[i][0])) + whole[i][1] for i, c in enumerate(cut)]
-
-
-@functools.cache
-def counter(path: str) -> Counter:
-    """One for each worker, so that what it learns lasts over tasks."""
-    return Counter(path)
+    def full(self) -> bool:
+        """Whether as much is kept as may be; if so, all is forgotten."""
+        if self.numbers.bytes <= segments.CACHE_BYTES:
+            return False
+        self.numbers = Numbers(self.find)
+        return True
+
+
+def counting(path: str) -> Callable[[list[str]], list[int]]:
+    """A function from texts to their numbers of tokens that keeps the counts of the words it has met."""
+    words = Words(path)
+    known = np.zeros(0, np.int64)
+
+    def count(texts: list[str]) -> list[int]:
+        nonlocal known
+        out: list[int] = []
+        for s in segments.slices(texts):
+            numbers = [words.numbers.of(t) for t in texts[s]]
+            known = np.concatenate([known, *(n for _, n in words.learnt())])
+            each = known[np.frombuffer(b"".join(numbers), "<u4")]
+            ends = np.cumsum([0, *(len(n) // 4 for n in numbers)])
+            total = np.append(0, np.cumsum(each))
+            out += (total[ends[1:]] - total[ends[:-1]]).tolist()
+            if words.full():
+                known = known[:0]
+        return out
+
+    return count
 
 
 def count_tokens(docs: DataFrame, key: str, text: str, path: str, limit: int = 1024) -> DataFrame:
     """key, n_bytes, n_tokens, over_limit of each row, as the tokenizer file at `path` counts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count = counter(path)
+        count = counting(path)  # what it keeps ends with the task
         for b in batches:
             yield pd.DataFrame({"key": b["key"], "n_bytes": b["n_bytes"], "n_tokens": count(b["text"].fillna("").tolist())})
 
