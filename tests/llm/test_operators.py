@@ -1,5 +1,6 @@
 """The training-data operators against libraries, brute force and round trips, with odd inputs."""
 
+import bisect
 import hashlib
 import zlib
 from collections import Counter, defaultdict
@@ -8,7 +9,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 
-from vellum.llm import ann, bagminhash, bpe, bpe_tables, chat, minhash, packing, pii, segments, substring, token_count, topk, toxicity, words
+from vellum.llm import ann, bagminhash, bpe, bpe_tables, chat, minhash, packing, pii, rows, segments, substring, token_count, topk, toxicity, words
 
 DATA = "/root/testdata/sf0.001"
 JSON, RANKS = P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken")
@@ -49,6 +50,23 @@ def test_bpe_round_trip(spark, odd):
         ids = np.array(enc.encode_ordinary(text[r.doc_id]), "<u4")
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest()), text[r.doc_id][:30]
         assert r.decoded_sha256 == hashlib.sha256(text[r.doc_id].encode()).hexdigest()
+    assert bpe.digest(empty(spark), RANKS, P.PATTERN).count() == 0
+
+
+def test_bpe_of_long_words_and_decoding(spark):
+    import tiktoken
+    from pyspark.sql import functions as F
+
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe_tables.load_ranks(RANKS), special_tokens={})
+    rng = np.random.default_rng(3)
+    texts = ["a" * 100_000, "ab" * 50_000, "".join(rng.choice([*"etaoinshrdlu"], 2000)), "漢字" * 300, "x" * 64, "x" * 65, "é" * 33, "word " * 30_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.key: r for r in bpe.encode(df, "doc_id", "text", RANKS, P.PATTERN).collect()}
+    for i, t in enumerate(texts):
+        ids = enc.encode_ordinary(t)
+        assert got[i].n_tokens == len(ids) and got[i].ids == np.array(ids, "<u4").tobytes() and got[i].decoded == t.encode()
+    ids = spark.createDataFrame([(enc.encode_ordinary("é decoded, by pieces"),), ([],)], "ids array<int>")
+    assert [bytes(r[0]).decode() for r in ids.select(bpe.decode(F.col("ids"), bpe.pieces(RANKS))).collect()] == ["é decoded, by pieces", ""]
 
 
 def test_segments_join_to_the_text():
@@ -88,10 +106,62 @@ def test_configurations_use_each_piece_once():
         for k, v in c.items():
             used[k] += v * t
     assert used == hist
-    n = sum(t for _, t in confs)
-    assert n <= sum(t for _, t in packing._best_fit(hist, 1024))
-    # two pieces over half the capacity never share a sequence
-    assert n <= 1.02 * max(sum(k * v for k, v in hist.items()) / 1024, sum(v for k, v in hist.items() if k > 512))
+    assert sum(t for _, t in confs) <= best_fit(hist, 1024)
+
+
+def best_fit(hist, capacity):
+    """Sequences of best-fit decreasing, a piece at a time."""
+    rooms = []
+    for n in sorted(Counter(hist).elements(), reverse=True):
+        i = bisect.bisect_left(rooms, n)
+        room = rooms.pop(i) if i < len(rooms) else capacity
+        bisect.insort(rooms, room - n)
+    return len(rooms)
+
+
+def optimum(pieces, capacity):
+    """The fewest sequences, by trying all ways to add a piece to an open sequence or a new one."""
+    least = len(pieces)
+
+    def place(i, rooms):
+        nonlocal least
+        if len(rooms) >= least:
+            return
+        if i == len(pieces):
+            least = len(rooms)
+            return
+        for room in set(rooms):
+            if room >= pieces[i]:
+                rest = [*rooms]
+                rest.remove(room)
+                place(i + 1, [*rest, room - pieces[i]])
+        place(i + 1, [*rooms, capacity - pieces[i]])
+
+    place(0, [])
+    return least
+
+
+def test_configurations_of_few_pieces_are_optimal():
+    rng = np.random.default_rng(8)
+    found = []
+    for _ in range(40):
+        pieces = sorted(rng.integers(5, 70, 10).tolist(), reverse=True)
+        confs = packing.configurations(Counter(pieces), 100)
+        assert sum((Counter({k: v * t for k, v in c.items()}) for c, t in confs), Counter()) == Counter(pieces)
+        found.append(sum(t for _, t in confs) - optimum(pieces, 100))
+    assert max(found) <= 1 and sum(found) <= 2
+    assert packing.configurations({}, 100) == [] and packing.configurations({100: 3}, 100) == [({100: 1}, 3)]
+
+
+def test_prices_bound_every_packing():
+    rng = np.random.default_rng(9)
+    for low, high in ((1, 1024), (200, 520), (300, 1000), (1, 60)):
+        hist = Counter(rng.integers(low, high, 3000).tolist())
+        lengths = np.array(sorted(hist))
+        price, bound = packing.prices(lengths, np.array([hist[n] for n in lengths], float), 1024)
+        n = sum(t for _, t in packing.configurations(hist, 1024))
+        assert bound <= n <= best_fit(hist, 1024)
+        assert bound >= 0.999 * sum(k * v for k, v in hist.items()) / 1024
 
 
 def test_bagminhash_is_unbiased():
@@ -136,6 +206,40 @@ def test_near_duplicates(spark, odd):
     assert minhash.keep_first(odd).columns == odd.columns
 
 
+def test_rows_are_told_apart_by_id_and_text(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(200)) for x in "abc")
+    rows_ = [(1, a), (2, b), (2, a), (3, c), (3, c), (None, a), (4, "\t\n"), (5, "\n\n\t"), (4, "\t\n"), (6, None)]
+    df = spark.createDataFrame([(*r, "k", "k", "k") for r in rows_], "doc_id long, text string, _first string, row_key string, gone string")
+    kept = sorted(((r.doc_id, r.text) for r in minhash.keep_first(df).collect()), key=str)
+    assert kept == sorted([(1, a), (2, b), (3, c), (None, a), (4, "\t\n"), (5, "\n\n\t"), (4, "\t\n"), (6, None)], key=str)
+    assert minhash.keep_first(df).columns == df.columns
+    got = Counter((r.doc_id, r.class_id) for r in minhash.classes(df).collect())
+    assert got == Counter([(1, 1), (2, 2), (2, 1), (3, 3), (3, 3), (None, None), (4, 4), (5, 5), (4, 4), (6, 6)])
+    marked, key, mended = rows.keyed(df)
+    assert mended and key != "row_key" and marked.where(f"doc_id = 2 AND {key} > 2").count() == 2
+
+
+def test_passages_of_rows_that_share_an_id(spark):
+    words_of = lambda x, n: [f"{x}{i}" for i in range(n)]
+    shared, own = words_of("s", 80), " ".join(words_of("o", 200))
+    first, second = " ".join(words_of("p", 30) + shared), " ".join(words_of("q", 30) + shared + words_of("r", 30))
+    df = spark.createDataFrame([(1, first, "k", "k"), (2, second, "k", "k"), (2, own, "k", "k"), (2, second, "k", "k"), (None, second, "k", "k"), (7, None, "k", "k")], "doc_id long, text string, _id string, _spans string")
+    out = substring.cut(df)
+    left = " ".join(words_of("q", 30) + words_of("r", 30))
+    assert out.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(1, first), (2, left), (2, own), (2, left), (None, second), (7, None)], key=str)
+    assert {(r.doc_id, tuple(r.partners), r.cut_words) for r in substring.report(df).collect()} == {(1, (), 0), (2, (1,), 80), (2, (), 0), (None, (), 0), (7, (), 0)}
+
+
+def test_passages_that_many_hold(spark):
+    rng = np.random.default_rng(12)
+    words_of = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    shared = words_of(60)
+    rows_ = [(i, " ".join(words_of(int(rng.integers(0, 40))) + shared + words_of(20))) for i in range(400)] + [(1000, " ".join(words_of(30000)))]
+    got = {r.doc_id: r for r in substring.report(spark.createDataFrame(rows_, "doc_id long, text string")).collect()}
+    assert all(0 in got[i].partners and 60 <= got[i].cut_words <= 62 for i in range(1, 400)) and got[0].cut_words == got[1000].cut_words == 0
+
+
 def test_passages(spark, odd):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     text = {r.doc_id: r.text.split() for r in docs.collect()}
@@ -215,8 +319,30 @@ def test_toxicity():
 
 def test_toxicity_on_tables(spark, odd):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    out = toxicity.score(odd, toxicity.fit(odd, labels)).collect()
-    assert len(out) == odd.count() and {r.score for r in out} == {0.0}
+    model = toxicity.fit(odd, labels)
+    with pytest.raises(ValueError):
+        toxicity.score(odd, model)
+    out = toxicity.score(odd, model, "s", "p").collect()
+    assert len(out) == odd.count() and {r.s for r in out} == {0.0} and {r.score for r in out} == {"x"}
+    assert toxicity.score(empty(spark), model).count() == 0
+
+
+def test_toxicity_of_long_texts_is_learnt_whole():
+    rng = np.random.default_rng(1)
+    word = lambda n: rng.choice(["thing", "and", "other", "hethan", "ofre"], n).tolist()
+    clean = [" ".join(word(5000)) for _ in range(60)]
+    bad = [" ".join([*word(4000), "idiotic", "stupid", *word(1000)]) for _ in range(60)]
+    model = toxicity.train([(0, toxicity.windows(t)) for t in clean] + [(1, toxicity.windows(t)) for t in bad])
+    scores = toxicity.Scorer(*model)([*clean, *bad])
+    assert (scores[:60] < 0.5).all() and (scores[60:] > 0.5).all()
+
+
+def test_toxicity_finds_held_out_documents(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    out = toxicity.score(docs, toxicity.fit(docs, labels)).where(toxicity.held_out()).select("doc_id", "score").join(labels, "doc_id").toPandas()
+    assert {zlib.crc32(str(i).encode()) % 5 for i in out.doc_id} == {0}
+    assert ((out.score >= 0.5) == (out.toxic == 1)).mean() > 0.95
+    assert (out.score >= 0.5)[out.toxic == 1].mean() > 0.9
 
 
 def test_chat_round_trip(spark):

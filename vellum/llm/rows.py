@@ -17,7 +17,7 @@ def fresh(df: DataFrame, name: str) -> str:
 def keyed(docs: DataFrame) -> tuple[DataFrame, str, bool]:
     """(docs with a key column more, its name, whether any key differs from doc_id).
 
-    The key is doc_id where one text has that id. Where several texts share an id, the key is a hash of both, below zero,
+    The key is doc_id where one text has that id. Where several texts share an id, the key is a hash of both from 2^62 on,
     so that rows are equal in key just where they are in id and text (null texts count as empty). Rows without an id have a
     null key. Ids alone are counted for this; docs is joined only if some id is shared.
     """
@@ -28,5 +28,5 @@ def keyed(docs: DataFrame) -> tuple[DataFrame, str, bool]:
         return docs.withColumn(name, F.col("doc_id").cast("bigint")), name, False
     both: Column = F.xxhash64(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text"), F.lit("")))
     marked = docs.join(shared, F.col("doc_id") == F.col(f"{name}_id"), "left")
-    key = F.when(F.col(f"{name}_id").isNull(), F.col("doc_id").cast("bigint")).otherwise(both.bitwiseOR(F.lit(-(1 << 63))))
+    key = F.when(F.col(f"{name}_id").isNull(), F.col("doc_id").cast("bigint")).otherwise(both.bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62)))
     return marked.withColumn(name, key).drop(f"{name}_id"), name, True

@@ -6,17 +6,16 @@ and layer are trained jointly in numpy. A document is as toxic as its most toxic
 training too: there each document stands for its window that scores highest so far. Because the
 model is linear behind the averages, scoring looks up one number for each word.
 
-Training reads at most `SAMPLE` labelled documents of each class, the first by a hash of their
-id, and at most `SAMPLE_WINDOWS` evenly spaced windows of each: a fixed bound, whatever the input.
+Training reads at most `SAMPLE` labelled documents of each class, the first by a hash of their id,
+each whole and one at a time: a fixed bound on rows, whatever the input.
 Scoring reads every text whole. Null and empty texts score 0.0; without labels of both classes so
 does everything. A document labelled twice counts as toxic if either label says so. Repeated rows
-are scored each, and of those with one id the sample takes the greatest text; other columns are not read.
+are scored each, and of those with one id the sample takes the greatest text; other columns are not read. An empty table gives no
+rows, and the score of a text, of any length, does not depend on the other rows.
 """
 
 from __future__ import annotations
 
-import functools
-import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -30,7 +29,6 @@ BUCKETS = 1 << 17
 SIZE = 8
 WINDOW = 32
 SAMPLE = 3000
-SAMPLE_WINDOWS = 64
 EPOCHS = 14
 #: Of the adaptive step: its size, and what counts as squared gradients seen before the first.
 RATE, START = 1.0, 1e-3
@@ -102,7 +100,8 @@ def train(samples: Iterable[tuple[int, list[list[str]]]], seed: int = 11) -> tup
     share = np.where(label == 1, 0.5 / max(1, label.sum()), 0.5 / max(1, (1 - label).sum())) * len(label)
     for epoch in range(EPOCHS):
         if epoch:
-            word = np.add.reduceat((embed @ (layer[:, 1] - layer[:, 0]))[bag], bag_begin) / bag_size
+            bucket = embed @ (layer[:, 1] - layer[:, 0])
+            word = np.concatenate([_sums(bucket, bag, bag_begin, i) for i in range(0, len(bag_size), GRAM_SLICE)]) / bag_size
             score = np.add.reduceat(word[flat], begin) / size
         else:
             score = rng.random(len(size))
@@ -134,21 +133,29 @@ def train(samples: Iterable[tuple[int, list[list[str]]]], seed: int = 11) -> tup
     return embed @ (layer[:, 1] - layer[:, 0]), float(bias[1] - bias[0])
 
 
+def _sums(value: np.ndarray, bag: np.ndarray, begin: np.ndarray, i: int) -> np.ndarray:
+    """The sums of the values of the bags of GRAM_SLICE words from the i-th on."""
+    part = begin[i : i + GRAM_SLICE + 1]
+    inside = bag[part[0] : part[-1] if len(part) > GRAM_SLICE else len(bag)]
+    return np.add.reduceat(value[inside], part[:GRAM_SLICE] - part[0])
+
+
 class Scorer:
     """Scores texts; keeps the scores of words."""
 
     def __init__(self, weights: np.ndarray, bias: float) -> None:
-        self.weights, self.bias, self.known = weights, bias, {}
+        self.weights, self.bias, self.known, self.bytes = weights, bias, {}, 0
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         return np.concatenate([self._of(texts[s]) for s in segments.slices(texts)]) if texts else np.zeros(0)
 
     def _of(self, texts: list[str]) -> np.ndarray:
         words = [t.split() for t in texts]
-        if len(self.known) > segments.CACHE_ENTRIES:
-            self.known = {}
+        if self.bytes > segments.CACHE_BYTES:
+            self.known, self.bytes = {}, 0
         fresh = [*(set().union(*words) - self.known.keys())]
         if fresh:
+            self.bytes += sum(map(len, fresh)) + len(fresh) * segments.ENTRY_BYTES
             bag, n = grams(fresh)
             mean = np.add.reduceat(self.weights[bag], np.cumsum(n) - n) / n
             self.known.update(zip(fresh, mean.tolist(), strict=True))
@@ -173,38 +180,23 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     by_class = [marked.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE) for y in (0, 1)]
     chosen = by_class[0].unionByName(by_class[1]).select(F.col("doc_id").alias("_id"), "toxic")
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            b["text"] = [
-                "\n".join(" ".join(w) for w in (ws if len(ws) <= SAMPLE_WINDOWS else [ws[i * len(ws) // SAMPLE_WINDOWS] for i in range(SAMPLE_WINDOWS)]))
-                for ws in map(windows, b["text"])
-            ]
-            yield b
-
     # at most 2 * SAMPLE ids are broadcast
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).where(F.col("text").isNotNull())
-    cuts = sample.select("doc_id", "text", "toxic").mapInPandas(cut, "doc_id bigint, text string, toxic int")
     # rows may share an id: one each keeps the sample within its bound
-    rows = cuts.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")).toPandas().sort_values("doc_id")
-    return train((int(y), [w.split() for w in t.split("\n") if w]) for t, y in zip(rows["text"], rows["toxic"], strict=True))
-
-
-@functools.cache
-def _scorer(name: str) -> list:
-    return []
+    each = sample.select("doc_id", "text", "toxic").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"))
+    return train((int(r["toxic"]), windows(r["text"])) for r in each.orderBy("doc_id").toLocalIterator())
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
-    """docs with `score` and `predicted`; whatever columns docs has stay."""
+def score(docs: DataFrame, model: tuple[np.ndarray, float], score: str = "score", predicted: str = "predicted") -> DataFrame:
+    """docs with two columns more, of the names given; docs must not have those."""
+    if taken := {c.lower() for c in docs.columns} & {score.lower(), predicted.lower()}:
+        raise ValueError(f"docs has {sorted(taken)}; name other columns for the results")
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    name = f"{docs.sparkSession.sparkContext.applicationId}-{sent._jbroadcast.id()}"
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        held = _scorer(name)
-        if not held:
-            held.append(Scorer(*sent.value))
+        scorer = Scorer(*sent.value)  # what it keeps ends with the task
         for texts in batches:
-            yield pd.Series(held[0](texts.fillna("").tolist()))
+            yield pd.Series(scorer(texts.fillna("").tolist()))
 
-    return docs.withColumn("score", scored(F.col("text"))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return docs.withColumn(score, scored(F.col("text"))).withColumn(predicted, (F.col(score) >= 0.5).cast("int"))
