@@ -448,3 +448,22 @@ def test_neighbours(spark):
         hit, total = hit + len({*want} & {*mine.vec_id}), total + 5
         assert np.allclose(mine.score, [cos(data[i]) for i in mine.vec_id])
     assert hit / total >= 0.9
+
+
+def test_few_vectors_are_all_found(spark):
+    rows_ = [(0, [1.0, 0.0]), (50, [-1.0, 0.1]), (51, [-1.0, -0.1]), (100, [-2.0, 0.0]), (52, [1.0, 1.0, 1.0]), (None, [1.0, 1.0])]
+    for n in range(len(rows_) + 1):
+        df = spark.createDataFrame(rows_[:n], "vec_id long, embedding array<float>")
+        got = Counter(r.query_id for r in ann.search(ann.sound(df), ann.sound(df).where("id % 50 = 0"), 5).collect())
+        flat = [i for i, v in rows_[:n] if i is not None and len(v) == 2]
+        assert got == Counter({q: len(flat) - 1 for q in flat if q % 50 == 0 and len(flat) > 1})
+        whole = topk.search(topk.whole(df), topk.whole(df).where("id % 100 = 0"), 10).collect()
+        assert Counter(r.query_id for r in whole) == Counter({q: len(flat) - 1 for q in flat if q % 100 == 0 and len(flat) > 1})
+
+
+def test_recall_on_tables(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    v = ann.sound(df)
+    asked = v.where("id % 50 = 0")
+    found, want = (f(v, asked, 5).select("query_id", "vec_id") for f in (ann.search, ann.exact))
+    assert found.join(want, ["query_id", "vec_id"]).count() >= 0.9 * want.count()

@@ -5,7 +5,8 @@ Unit vectors are hashed in `TABLES` tables by `HASHES` random projections each,
 expected to hold neighbours: perturbations of least expected squared distance to the slots' edges
 (one order of ranks for all queries, applied to each query's own distances). Buckets of more than
 `CHUNK` vectors are split, and queries sent to every part. Each part's exact best go on; the best of
-all are the result. Every row is indexed; the projections are random and need no fitting.
+all are the result. A query that finds fewer than k is compared with all vectors, in blocks. Every row
+is indexed; the projections are random and need no fitting.
 
 Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows
 without an id. Vectors meet only those of their own length. Equal rows of one id count once. Ties go
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.llm import streams
+from vellum.llm.durable import stored
 from vellum.llm.words import mixed
 
 TABLES, HASHES, WIDTH, PROBES = 3, 4, 1.3, 64
@@ -91,14 +93,14 @@ def probes(vectors: np.ndarray) -> np.ndarray:
 
 
 def _hashed(find):
+    """(key, size, id) of each key of each vector."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for size, rows in b.groupby(b["vector"].map(len)).indices.items():
                 for part in np.array_split(rows, -(-len(rows) // 2048)):
-                    v = np.stack(b["vector"].to_numpy()[part]).astype(np.float64)
-                    keys = find(v)
-                    each = keys.shape[1]
-                    yield pd.DataFrame({"key": keys.ravel(), "size": np.int32(size), "id": np.repeat(b["id"].to_numpy()[part], each), "vector": [x for x in b["vector"].to_numpy()[part] for _ in range(each)]})
+                    keys = find(np.stack(b["vector"].to_numpy()[part]).astype(np.float64))
+                    yield pd.DataFrame({"key": keys.ravel(), "size": np.int32(size), "id": np.repeat(b["id"].to_numpy()[part], keys.shape[1])})
 
     return run
 
@@ -135,19 +137,45 @@ def _reranked(k: int):
     return run
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, rank, vec_id, score (cosine) of the k nearest found; both tables hold id and vector (doubles)."""
-    rows = "key bigint, size int, id bigint, vector array<double>"
-    index = vectors.mapInPandas(_hashed(buckets), rows)
-    chunks = index.groupBy("key", "size").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    data = index.join(chunks, ["key", "size"]).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-    asked = queries.distinct().mapInPandas(_hashed(probes), rows).join(chunks, ["key", "size"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    both = data.select("key", "size", "chunk", F.lit(0).alias("kind"), "id", "vector").unionByName(asked.select("key", "size", "chunk", F.lit(1).alias("kind"), "id", "vector"))
-    found = both.repartition("key", "size", "chunk").sortWithinPartitions("key", "size", "chunk", "kind", "id").mapInPandas(_reranked(k), "query_id bigint, vec_id bigint, score double").distinct()
+def _best(rows: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score from key, size, chunk, kind (0: candidate, 1: query), id, vector."""
+    found = rows.repartition("key", "size", "chunk").sortWithinPartitions("key", "size", "chunk", "kind", "id").mapInPandas(_reranked(k), "query_id bigint, vec_id bigint, score double").distinct()
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _dealt(df: DataFrame, kind: int) -> DataFrame:
+    return df.select("key", "size", "chunk", F.lit(kind).alias("kind"), "id", "vector")
+
+
+def exact(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The k nearest of all, by blocks of about `CHUNK` vectors."""
+    blocks = max(1, -(-vectors.count() // CHUNK))
+    data = vectors.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    asked = queries.distinct().withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    one = lambda df: df.withColumn("key", F.lit(0).cast("bigint")).withColumn("size", F.size("vector"))
+    return _best(_dealt(one(data), 0).unionByName(_dealt(one(asked), 1)), k)
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score (cosine) of the k nearest found; both tables hold id and vector (doubles).
+
+    A query whose buckets hold fewer than k candidates is compared with all vectors.
+    """
+    queries = queries.distinct()
+    index = vectors.mapInPandas(_hashed(buckets), "key bigint, size int, id bigint")
+    chunks = index.groupBy("key", "size").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    # vectors join once it is known which buckets there are; a big bucket's chunks are dealt by id
+    data = index.join(chunks, ["key", "size"]).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).join(vectors, "id")
+    asked = queries.mapInPandas(_hashed(probes), "key bigint, size int, id bigint").distinct().join(chunks, ["key", "size"])
+    asked = asked.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).join(queries, "id")
+    found = stored(_best(_dealt(data.where(F.size("vector") == F.col("size")), 0).unionByName(_dealt(asked.where(F.size("vector") == F.col("size")), 1)), k))
+    few = queries.join(found.where(F.col("rank") == k).select(F.col("query_id").alias("id")), "id", "left_anti")
+    if few.isEmpty():
+        return found
+    return found.join(few.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(exact(vectors, few, k))
+
+
 def sound(embeddings: DataFrame) -> DataFrame:
     """id and vector (doubles) of the rows that take part."""
     ok = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.col("vec_id").isNotNull()

@@ -4,7 +4,7 @@ Texts become runs of word numbers; words not met before in a task go to the JVM
 There a fold merges, round by round, the adjacent pair of lowest rank, looked up in a literal rank
 map, until no pair has a rank, and each word's ids are decoded by concatenating binary pieces. Python
 around it only splits texts into words, once, and strings the words' ids and bytes together. Nothing
-is shuffled. A task holds at most `segments.CACHE_BYTES` of words; then it numbers them anew.
+is shuffled. A task holds at most `CACHE_BYTES` of words; then it numbers them anew.
 
 Null and empty texts have no tokens; repeated rows are encoded each; rows without a key are kept;
 other columns are not read; empty tables give no rows. A word of up to `LONG_WORD` bytes merges one
@@ -26,6 +26,8 @@ from vellum.llm.wordnumbers import Numbers
 
 #: Words longer than this merge all places of a pair at once instead of the leftmost.
 LONG_WORD = 64
+#: What a task may keep of words; folding them again takes longer than counting them does.
+CACHE_BYTES = 128 << 20
 #: Documents travel to the JVM in bundles of about so many characters, with their new words.
 BUNDLE_CHARS = 1 << 20
 BUNDLE = "keys array<bigint>, numbers array<binary>, reset boolean, words array<array<int>>"
@@ -179,7 +181,7 @@ def _bundles(pattern: str):
                 if n >= BUNDLE_CHARS:
                     yield flush()
                     keys, numbers, n, reset = [], [], 0, False
-                    if known.bytes > segments.CACHE_BYTES:
+                    if known.bytes > CACHE_BYTES:
                         known, reset = Numbers(find), True
         if keys:
             yield flush()

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from vellum.llm import streams
 
-BLOCK = 4096
+BLOCK = 16384
 FIRST_STEP = 32
 
 
