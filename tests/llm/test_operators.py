@@ -467,3 +467,74 @@ def test_recall_on_tables(spark):
     asked = v.where("id % 50 = 0")
     found, want = (f(v, asked, 5).select("query_id", "vec_id") for f in (ann.search, ann.exact))
     assert found.join(want, ["query_id", "vec_id"]).count() >= 0.9 * want.count()
+
+
+def feistel(values, radices, key):
+    """The network in plain Python."""
+    half = len(values) // 2
+    parts, kinds = [values[:half], values[half:]], [radices[:half], radices[half:]]
+    for t in range(1, pii.ROUNDS + 1):
+        side = 0 if t % 2 else 1
+        seed = f"{key}:{t}:{','.join(map(str, parts[1 - side]))}"
+        shift = [int(hashlib.sha256(f"{seed}:{i}".encode()).hexdigest()[:12], 16) for i in range(len(parts[side]))]
+        parts[side] = [(x + s) % r for x, s, r in zip(parts[side], shift, kinds[side], strict=True)]
+    return parts[0] + parts[1]
+
+
+def test_feistel_equals_brute_force(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(7)
+    rows_ = []
+    for n in (1, 2, 3, 5, 16, 40):
+        for _ in range(20):
+            radices = rng.choice([1, 10, 26, 256], n).tolist()
+            rows_.append(([int(rng.integers(0, r)) for r in radices], radices))
+    df = spark.createDataFrame(rows_, "v array<int>, r array<int>")
+    for v, r, got in df.select("v", "r", pii.feistel(F.col("v"), F.col("r"), F.lit("key")).alias("f")).collect():
+        assert got == feistel(v, r, "key")
+
+
+def test_numbers_are_linked_across_ways_of_writing(spark):
+    same = [
+        ["4111 1111 1111 1111", "4111111111111111", "4111-1111-1111-1111"],
+        ["(988) 555-2485", "988-555-2485", "988.555.2485", "+1 (988) 555-2485"],
+        ["GB82 WEST 1234 5698 7654 32", "GB82WEST12345698765432"],
+        ["+44 20 7946 0958", "+442079460958", "+44 (20) 7946-0958"],
+        ["2024-02-29", "29.02.2024", "29/02/2024"],
+    ]
+    texts = [(i, j, f"call {t} now") for i, ts in enumerate(same) for j, t in enumerate(ts)]
+    df = spark.createDataFrame(texts, "kind int, nth int, text string").withColumnRenamed("text", "text")
+    got = defaultdict(dict)
+    for r in pii.replace(df, "key", "n").collect():
+        assert r.n == 1 and r.text.startswith("call ") and r.text.endswith(" now"), r
+        got[r.kind][r.nth] = r.text[5:-4]
+    for i, ts in enumerate(same):
+        made = [got[i][j] for j in range(len(ts))]
+        if i == 4:
+            y, m, d = made[0].split("-")
+            assert made[1:] == [f"{d}.{m}.{y}", f"{d}/{m}/{y}"] or made[2] in (f"{d}/{m}/{y}", f"{m}/{d}/{y}")
+            continue
+        assert all(["".join(c for c in x if not c.isalnum()) == "".join(c for c in t if not c.isalnum()) for x, t in zip(made, ts, strict=True)])
+        digits = ["".join(c for c in x if c.isalnum())[-10 if i == 1 else 0 :] for x in made]
+        assert len({*digits}) == 1 and digits[0] != "".join(c for c in ts[0] if c.isalnum())
+
+
+def test_security_numbers_stay_valid(spark):
+    numbers = [f"{a:03d}-{g:02d}-{s:04d}" for a in (1, 665, 667, 899, 123) for g in (1, 50, 99) for s in (1, 9999, 4242)]
+    df = spark.createDataFrame([(i, f"ssn {t}.") for i, t in enumerate(numbers)], "doc_id long, text string")
+    made = [r.text[4:-1] for r in pii.replace(df, "key").orderBy("doc_id").collect()]
+    assert len({*made}) == len(numbers)
+    for x in made:
+        area, group, serial = x.split("-")
+        assert area not in ("000", "666") and area < "900" and group != "00" and serial != "0000" and len(x) == 11
+
+
+def test_pseudonyms_of_long_and_odd_rows(spark):
+    long = "word " * 200_000 + "me@x.org"
+    df = spark.createDataFrame([(1, long, "k"), (1, long, "k"), (None, "me@x.org", None)], "doc_id long, text string, pseudonymised string")
+    out = pii.replace(df, "key", "n")
+    assert out.columns == [*df.columns, "n"]
+    got = out.collect()
+    assert {r.n for r in got} == {1} and got[0].text == got[1].text and got[0].text.split()[-1] == got[2].text and len(got[0].text) == len(long)
+    assert pii.replace(empty(spark), "key").count() == 0

@@ -6,11 +6,15 @@ numbers are validated (octets, mod 97, calendar, Luhn) and each is
 turned into symbols of given radices: digits, letters, octets, or a day's two coordinates in the
 400 years from 1700. Two halves of the symbols are shifted in turn by keyed hashes of the other,
 a permutation of all values of the same format, so equal values get equal pseudonyms in every
-document and different ones stay different. Separators, length and letter case stay; card and IBAN
-check digits are made anew. What fails validation stays.
+document and different ones stay different. Separators, length and letter case stay; in IBANs, card,
+social security and phone numbers separators do not count, so that a number is linked in every way of
+writing it, as a date is. Card and IBAN check digits are made anew, and country codes stay. What fails
+validation stays. Phone numbers are those of three, three and four digits, and after a country code
+those of 6 to 13 digits more in any grouping.
 
 Null texts stay null and have no matches; texts without matches stay as they are; repeated rows are
-treated alike; other columns are kept. Only built-in expressions are used, and nothing is shuffled.
+treated alike; other columns are kept, whatever their names; empty tables give no rows. A text of any
+length is read whole. Only built-in expressions are used, and nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -18,9 +22,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellum.llm import rows
+
 #: What stands before a secret: its name, perhaps quoted, a sign among blanks, perhaps a quote.
 SECRET = r"""(?i:password|passwd|secret|api[_-]?key|token)["']?[ \t]*[=:][ \t]*(?:\r?\n[ \t]*)?"""
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+#: The country codes of telephone numbers.
+COUNTRY = r"\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 #: In the order in which they are tried at a place.
 KINDS = {
     "email": r"(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
@@ -30,7 +38,7 @@ KINDS = {
     "date": r"(?<![\d.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?!\d|[.-]\d)",
     "ssn": r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?!\d|-\d)",
     "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![ -]?\d)",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)",
+    "phone": rf"(?<![\w+])(?:(?:\+\d{{1,3}}[ .-]?)?(?:\(\d{{3}}\) ?|\d{{3}}[ .-])\d{{3}}[ .-]\d{{4}}|{COUNTRY}(?=(?:[ .()-]*\d){{6,13}}(?!\d|[ .-]\d))(?:[ .-]?(?:\(\d{{1,4}}\)|\d{{1,12}})){{1,6}})(?!\d)",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 ROUNDS = 8
@@ -69,17 +77,49 @@ def _is(c: Column, low: str, high: str) -> Column:
     return (c >= low) & (c <= high)
 
 
-def _letters(text: Column, key: Column) -> Column:
-    """Permutes the ASCII digits and letters of a text within their kinds."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
+def _alnum(c: Column) -> Column:
+    return _is(c, "0", "9") | _is(c, "a", "z") | _is(c, "A", "Z")
+
+
+def _letters(text: Column, key: Column, separators: bool = False) -> Column:
+    """Permutes the ASCII digits and letters of a text within their kinds.
+
+    What stands between them stays where it is; with `separators` it also tells values apart, else values that differ in
+    it alone get the same digits and letters.
+    """
+    base = lambda c: F.when(_is(c, "0", "9"), 48).when(_is(c, "a", "z"), 97).when(_is(c, "A", "Z"), 65)
 
     def symbols(cs: Column) -> Column:
-        base = lambda c: F.when(_is(c, "0", "9"), 48).when(_is(c, "a", "z"), 97).when(_is(c, "A", "Z"), 65)
         values = F.transform(cs, lambda c: F.coalesce(F.ascii(c) - base(c), F.lit(0)).cast("int"))
-        radices = F.transform(cs, lambda c: F.when(_is(c, "0", "9"), 10).when(_is(c, "a", "z") | _is(c, "A", "Z"), 26).otherwise(1))
-        return F.array_join(F.zip_with(cs, feistel(values, radices, key), lambda c, v: F.coalesce(F.char(base(c) + v), c)), "")
+        radices = F.transform(cs, lambda c: F.when(_is(c, "0", "9"), 10).when(_alnum(c), 26).otherwise(1))
+        return F.zip_with(cs, feistel(values, radices, key), lambda c, v: F.coalesce(F.char(base(c) + v), c))
+
+    def laid(cs: Column) -> Column:
+        nothing = F.struct(F.lit("").alias("text"), F.lit(0).alias("n"))
+
+        def put(new: Column) -> Column:
+            return F.aggregate(
+                cs, nothing,
+                lambda s, c: F.when(_alnum(c), F.struct(F.concat(s["text"], F.get(new, s["n"])).alias("text"), (s["n"] + 1).alias("n"))).otherwise(F.struct(F.concat(s["text"], c).alias("text"), s["n"].alias("n"))),
+                lambda s: s["text"],
+            )
+
+        return _let(symbols(F.filter(cs, _alnum)), put)
+
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    return _let(chars, (lambda cs: F.array_join(symbols(cs), "")) if separators else laid)
+
+
+def _ssn(m: Column, key: Column) -> Column:
+    """Area, group and serial number, each within the values that are given out."""
+    area, rest = F.substring(m, 1, 3).cast("int"), lambda at, n: F.substring(m, at, n).cast("int") - 1
+    values = F.array(F.when(area < 666, area - 1).otherwise(area - 2), rest(5, 2), rest(8, 4))
+
+    def again(v: Column) -> Column:
+        at = lambda i: F.get(v, F.lit(i))
+        return F.format_string("%03d-%02d-%04d", F.when(at(0) < 665, at(0) + 1).otherwise(at(0) + 2), at(1) + 1, at(2) + 1)
 
-    return _let(chars, symbols)
+    return _let(feistel(values, F.array(*map(F.lit, (898, 99, 9999))), key), again)
 
 
 def _digits(text: Column) -> Column:
@@ -129,27 +169,27 @@ def _date(m: Column, key: Column) -> Column:
     return F.when((day >= 0) & (day < a * b), _let(feistel(values, F.array(F.lit(a), F.lit(b)), key), again)).otherwise(m)
 
 
-def _tail(m: Column, head: str, key: Column) -> Column:
+def _tail(m: Column, head: str, key: Column, separators: bool = False) -> Column:
     """Permutes what stands behind the part that `head` matches."""
-    return _let(F.regexp_extract(m, f"^(?:{head})", 0), lambda h: F.concat(h, _letters(F.substring(m, F.length(h) + 1, F.length(m)), key)))
+    return _let(F.regexp_extract(m, f"^(?:{head})", 0), lambda h: F.concat(h, _letters(F.substring(m, F.length(h) + 1, F.length(m)), key, separators)))
 
 
 def pseudonym(m: Column, key: str) -> Column:
     """The pseudonym of one match."""
     k = {name: F.lit(f"{key}/{name}") for name in KINDS}
     is_a = lambda name: m.rlike(f"^(?:{KINDS[name]})$")
-    email = _let(F.regexp_extract(m, r"\.[A-Za-z]+$", 0), lambda end: F.concat(_letters(F.substring(m, F.lit(1), F.length(m) - F.length(end)), k["email"]), end))
+    email = _let(F.regexp_extract(m, r"\.[A-Za-z]+$", 0), lambda end: F.concat(_letters(F.substring(m, F.lit(1), F.length(m) - F.length(end)), k["email"], True), end))
     octets = F.transform(F.split(m, r"\."), lambda o: o.cast("int"))
     ip = F.array_join(F.transform(feistel(octets, F.transform(octets, lambda _: F.lit(256)), k["ip"]), lambda o: o.cast("string")), ".")
     return (
-        F.when(m.rlike(f"^(?:{SECRET})"), _tail(m, SECRET + "[\"']?", k["secret"]))
+        F.when(m.rlike(f"^(?:{SECRET})"), _tail(m, SECRET + "[\"']?", k["secret"], True))
         .when(m.contains("@"), email)
         .when(is_a("ip"), ip)
         .when(is_a("iban"), _iban(m, k["iban"]))
         .when(is_a("date"), _date(m, k["date"]))
-        .when(is_a("ssn"), _letters(m, k["ssn"]))
+        .when(is_a("ssn"), _ssn(m, k["ssn"]))
         .when(is_a("card"), _card(m, k["card"]))
-        .otherwise(_tail(m, r"\+\d{1,3}[ .-]?|", k["phone"]))
+        .otherwise(_tail(m, COUNTRY + "[ .-]?|", k["phone"]))
     )
 
 
@@ -171,7 +211,8 @@ def pseudonymised(text: Column, key: str) -> Column:
 
 def replace(docs: DataFrame, key: str, counted: str | None = None) -> DataFrame:
     """docs with pseudonyms in `text`; the number of values replaced in a column, if that is named."""
-    done = docs.withColumn("_pii", pseudonymised(F.col("text"), key))
+    found = rows.fresh(docs, "pseudonymised")
+    done = docs.withColumn(found, pseudonymised(F.col("text"), key))
     if counted:
-        done = done.withColumn(counted, F.coalesce(F.col("_pii.n"), F.lit(0)))
-    return done.withColumn("text", F.col("_pii.text")).drop("_pii")
+        done = done.withColumn(counted, F.coalesce(F.col(f"{found}.n"), F.lit(0)))
+    return done.withColumn("text", F.col(f"{found}.text")).drop(found)
