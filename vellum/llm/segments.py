@@ -9,7 +9,7 @@ ODD_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \
 ODD_ASCII = [c for c in ODD_SPACES if c.isascii()]
 RUNS = ("  ", "\n\n", " \n", "\n ", "\0")
 #: What a worker may keep of words it has met, and what an entry of a dictionary takes besides its strings.
-CACHE_BYTES, ENTRY_BYTES = 80 << 20, 180
+CACHE_BYTES, ENTRY_BYTES = 112 << 20, 180
 #: Texts are split into words for about so many characters at a time: the words take many times the room of the text.
 SLICE_CHARS = 1 << 20
 

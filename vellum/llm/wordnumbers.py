@@ -16,13 +16,17 @@ class Numbers(dict):
 
     def __init__(self, find: Callable[[str], list[str]]) -> None:
         super().__init__()
-        self.find, self.inner, self.fresh, self.count, self.bytes = find, {}, [], 0, 0
+        self.find, self.inner, self.fresh, self.count, self.chars = find, {}, [], 0, 0
+
+    @property
+    def bytes(self) -> int:
+        return 2 * self.chars + (len(self) + len(self.inner)) * segments.ENTRY_BYTES
 
     def _new(self, word: str) -> bytes:
         self.fresh.append(word)
-        self.bytes += len(word) + segments.ENTRY_BYTES
-        self.count += 1
-        return (self.count - 1).to_bytes(4, "little")
+        n = self.count
+        self.count = n + 1
+        return n.to_bytes(4, "little")
 
     def _number(self, word: str) -> bytes:
         n = self.get(word)
@@ -30,17 +34,18 @@ class Numbers(dict):
             n = self.inner.get(word)
             if n is None:
                 n = self.inner[word] = self._new(word)
+                self.chars += len(word)
         return n
 
     def __missing__(self, segment: str) -> bytes:
+        self.chars += len(segment)
         # letters of ASCII are one word, with a blank before them or without
-        found = [segment] if segment.isascii() and segment[1:].isalpha() and (segment[0] == " " or segment[0].isalpha()) else self.find(segment)
-        if len(found) == 1 and found[0] == segment:
-            out = self.inner.get(segment) or self._new(segment)
+        if segment.isascii() and segment[1:].isalpha() and (segment[0] == " " or segment[0].isalpha()):
+            whole = True
         else:
-            out = b"".join(map(self._number, found))
-            self.bytes += len(segment) + len(out) + segments.ENTRY_BYTES
-        self[segment] = out
+            found = self.find(segment)
+            whole = len(found) == 1 and found[0] == segment
+        out = self[segment] = (self.inner.get(segment) or self._new(segment)) if whole else b"".join(map(self._number, found))
         return out
 
     def of(self, text: str) -> bytes:
