@@ -92,6 +92,45 @@ def section_parts(md: Column) -> Column:
     return F.when(has_intro, F.concat(F.array(intro), headed)).otherwise(headed)
 
 
+def pages_of(md: Column) -> Column:
+    """array<struct<page, text>>, each number once, its last text, in the order of numbers."""
+    parts = page_parts(md)
+    ranked = F.array_sort(F.transform(parts, lambda p, i: F.struct(p["page"].alias("page"), (-i).alias("late"), p["text"].alias("text"))))
+
+    def once(rs: Column) -> Column:
+        kept = F.filter(rs, lambda r, i: (i == 0) | (F.get(rs, i - 1)["page"] != r["page"]))
+        return F.transform(kept, lambda r: F.struct(r["page"].alias("page"), r["text"].alias("text")))
+
+    return F.get(F.transform(F.array(ranked), once), F.lit(0))
+
+
+def whole_sections(md: Column) -> Column:
+    """array<struct<title, text>>: the introduction as 'Document', if there is one, then each section with its heading line."""
+    pieces = F.split(F.regexp_replace(md, HEADING, f"{SENTINEL}$0"), SENTINEL)
+    title = lambda p: strip(F.regexp_extract(p, HEADING, 2))
+    part = lambda t, x: F.struct(t.alias("title"), strip(x).alias("text"))
+    headed = F.transform(F.slice(pieces, 2, F.size(pieces)), lambda p, i: part(F.when(title(p) == "", F.concat(F.lit("Section "), (i + 1).cast("string"))).otherwise(title(p)), p))
+    intro = part(F.lit("Document"), F.get(pieces, F.lit(0)))
+    return F.when((intro["text"] != "") | (F.size(pieces) == 1), F.concat(F.array(intro), headed)).otherwise(headed)
+
+
+def with_contents(md: Column, deepest: int = 3) -> Column:
+    """Markdown behind a linked list of its headings; without such headings as it is. Equal anchors are numbered."""
+    levels, titles = (F.regexp_extract_all(md, F.lit(HEADING), F.lit(i)) for i in (1, 2))
+    each = F.zip_with(levels, titles, lambda a, b: F.struct(F.length(a).alias("level"), strip(b).alias("title")))
+    heads = F.filter(each, lambda h: (h["level"] <= deepest) & (h["title"] != ""))
+    slugs = F.transform(heads, lambda h: F.struct(h["level"].alias("level"), h["title"].alias("title"), slug(h["title"]).alias("base")))
+
+    def listed(hs: Column) -> Column:
+        top = F.array_min(F.transform(hs, lambda h: h["level"]))
+        before = lambda h, i: F.size(F.filter(F.slice(hs, F.lit(1), i), lambda g: g["base"] == h["base"]))
+        anchor = lambda h, n: F.concat(h["base"], F.when(n > 0, F.concat(F.lit("_"), n.cast("string"))).otherwise(""))
+        line = lambda h, i: F.concat(F.repeat(F.lit("  "), h["level"] - top), F.lit("- ["), h["title"], F.lit("](#"), anchor(h, before(h, i)), F.lit(")"))
+        return F.when(F.size(hs) > 0, F.concat(F.lit("## Contents\n\n"), F.array_join(F.transform(hs, line), "\n"), F.lit("\n\n"), md)).otherwise(md)
+
+    return F.get(F.transform(F.array(slugs), listed), F.lit(0))
+
+
 def windows(text: Column, size: int, overlap: int) -> Column:
     """Windows of `size` characters, each `overlap` into the one before; the text alone if it fits or size is not positive."""
     step = max(1, size - overlap)

@@ -14,6 +14,8 @@ ROUTES = {
     "formula": ["formula", "formula_number"],
 }
 IOU_LIMIT = 0.6
+#: The least side of a region that is read.
+SMALLEST = 4
 
 
 def route(label: Column) -> Column:
@@ -54,3 +56,27 @@ def clamped(x1, y1, x2, y2, width, height):
     """Corners rounded half to even, then kept within the page."""
     inside = lambda v, most: F.greatest(F.lit(0), F.least(most, F.rint(v))).cast("int")
     return F.struct(inside(x1, width).alias("x1"), inside(y1, height).alias("y1"), inside(x2, width).alias("x2"), inside(y2, height).alias("y2"))
+
+
+def page_markdown(boxes: DataFrame, page: str) -> DataFrame:
+    """page, md, table_count, image_count, formula_count of a page put together from its regions.
+
+    boxes: page, ord, label, x1, y1, x2, y2, what was read there as text, table and grid (Markdown of a table by its lines, else
+    by the places of its words, or null), and the page's width and height. Regions of under 4 pixels a side after clamping are
+    left out; figures are links to crops, numbered in reading order; a table without a grid is its text; a counter rises only for
+    what is put out.
+    """
+    placed = in_reading_order(boxes, page).withColumn("crop", clamped("x1", "y1", "x2", "y2", F.col("width"), F.col("height")))
+    kept = placed.where((F.col("crop.x2") - F.col("crop.x1") >= SMALLEST) & (F.col("crop.y2") - F.col("crop.y1") >= SMALLEST)).withColumn("kind", route(F.col("label")))
+    nth = F.count_if(F.col("kind") == "figure").over(Window.partitionBy(page).orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
+    text = F.nullif(F.trim("text"), F.lit(""))
+    grid = F.coalesce("table", "grid")
+    figure = F.format_string("![](images/page_%04d_fig_%d.png)", F.col(page).cast("bigint"), nth)
+    part = F.when(F.col("kind") == "table", F.coalesce(grid, text)).when(F.col("kind") == "figure", figure).otherwise(heading(F.col("label"), text))
+    parts = kept.withColumn("part", part)
+    made = parts.groupBy(page).agg(
+        F.expr("coalesce(listagg(part, '\\n\\n') WITHIN GROUP (ORDER BY place), '')").alias("md"),
+        F.count_if((F.col("kind") == "table") & grid.isNotNull()).alias("table_count"), F.count_if(F.col("kind") == "figure").alias("image_count"),
+        F.count_if((F.col("kind") == "formula") & F.col("part").isNotNull()).alias("formula_count"),
+    )
+    return made

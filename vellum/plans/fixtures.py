@@ -18,10 +18,10 @@ MD_SPARK = _MD.format(s="STRING", i5="i div 5", agg="listagg(b, chr(10) || chr(1
 
 _WORDS = """
 SELECT *, CASE WHEN (doc_id + 3 * line + 5 * word) % 41 = 0 THEN -1.0 ELSE CAST((31 * doc_id + 17 * line + 7 * word + 13 * length(text)) % 1010 AS DOUBLE) / 10.0 END AS conf,
-  70 * word + (7 * doc_id + 3 * word) % 9 AS x, 30 * line + (5 * word + doc_id) % 4 AS y, 8 * length(text) AS width, 18 AS height
+  100000 * line + word AS ord, {div} % 4 AS block, 1 - line % 2 AS par, 70 * word + (7 * doc_id + 3 * word) % 9 AS x, 30 * line + (5 * word + doc_id) % 4 AS y, 8 * length(text) AS width, 18 AS height
 FROM ({words}) w WHERE text <> ''"""
-WORDS_DUCK = _WORDS.format(words="SELECT doc_id, line, unnest(string_split(l, ' ')) AS text, generate_subscripts(string_split(l, ' '), 1) - 1 AS word FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents) a")
-WORDS_SPARK = _WORDS.format(words="SELECT doc_id, CAST(line AS BIGINT) AS line, CAST(word AS BIGINT) AS word, text FROM (SELECT doc_id, line, l FROM documents LATERAL VIEW posexplode(split(text, '\\n')) p AS line, l) a LATERAL VIEW posexplode(split(l, ' ')) q AS word, text")
+WORDS_DUCK = _WORDS.format(div="(line // 3)", words="SELECT doc_id, line, unnest(string_split(l, ' ')) AS text, generate_subscripts(string_split(l, ' '), 1) - 1 AS word FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents) a")
+WORDS_SPARK = _WORDS.format(div="(line div 3)", words="SELECT doc_id, CAST(line AS BIGINT) AS line, CAST(word AS BIGINT) AS word, text FROM (SELECT doc_id, line, l FROM documents LATERAL VIEW posexplode(split(text, '\\n')) p AS line, l) a LATERAL VIEW posexplode(split(l, ' ')) q AS word, text")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -13,8 +13,12 @@ PAGE_ROW = "job_id string, page int, source string, preview string, word_count i
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share; a local one only where spark.checkpoint.dir is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vellum-")
+    """A new folder that driver and executors share; one of this machine only in local mode where spark.checkpoint.dir is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="vellum-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
