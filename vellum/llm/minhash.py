@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from vellum.llm import bagminhash, rows, segments, streams, words
 from vellum.llm.components import components
 from vellum.llm.durable import checkpointed, stored
+from vellum.llm.mapping import over_texts
 
 COMPONENTS, ROWS, SHINGLE = 125, 5, 5
 HUB_ROUNDS = 2
@@ -141,7 +142,7 @@ def _salt(column: str):
 
 def _by_key(texts: DataFrame, threshold: float) -> DataFrame:
     """(doc, component: the smallest doc of its class) of rows doc (a key, not null) and text (not null) that have words."""
-    sketch = stored(texts.mapInPandas(_sketch, "doc bigint, same binary, bands array<bigint>").withColumn("salt", _salt("doc")))
+    sketch = stored(over_texts(texts, _sketch, "doc bigint, same binary, bands array<bigint>").withColumn("salt", _salt("doc")))
     firsts = _salted(sketch.groupBy("same").agg(F.min("doc").alias("id"), F.max("doc").alias("hi")).where("id < hi").drop("hi"))
     of = stored(sketch.select("doc", "same", "salt").join(firsts, ["same", "salt"], "left").select("doc", F.coalesce("id", "doc").alias("id")))
     reps = sketch.join(of.where("doc = id").select("id").distinct(), F.col("doc") == F.col("id")).select("id", "bands").dropDuplicates(["id"])
@@ -150,7 +151,7 @@ def _by_key(texts: DataFrame, threshold: float) -> DataFrame:
     members = stored(keyed.join(shared, ["key", "salt"]))
     degree = members.groupBy("id").agg(F.sum(F.col("n") - 1).alias("degree"))
     members = stored(members.join(degree, "id").select("key", "salt", "id", "n", "degree"))
-    bags = stored(texts.join(degree.select(F.col("id").alias("doc")), "doc").select(F.col("doc").alias("id"), "text").mapInPandas(_multisets, "id bigint, bag binary").dropDuplicates(["id"]))
+    bags = stored(over_texts(texts.join(degree.select(F.col("id").alias("doc")), "doc").select(F.col("doc").alias("id"), "text"), _multisets, "id bigint, bag binary").dropDuplicates(["id"]))
     links = tested = None
     label = members.select("id").distinct().withColumn("component", F.col("id"))
     for turn in range(HUB_ROUNDS + 1):
