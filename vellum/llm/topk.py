@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from vellum.llm import streams
 
-BLOCK = 16384
+BLOCK = 4096
 FIRST_STEP = 32
 
 
@@ -40,8 +40,9 @@ def best(order: np.ndarray, values: np.ndarray, data: np.ndarray, ids: np.ndarra
         if len(use):
             down = order[use[up], n - to : n - depth]
             rise = order[use[~up], depth:to]
-            met = np.unique(np.concatenate([down.ravel(), rise.ravel()]))
-            met = met[~seen[met]]
+            mark = np.zeros(n, bool)
+            mark[down.ravel()] = mark[rise.ravel()] = True
+            met = np.flatnonzero(mark & ~seen)
         else:
             met = np.arange(depth, to)
         seen[met] = True
