@@ -130,6 +130,18 @@ def test_live_view_and_checkpoints(spark, tmp_path):
     assert sorted((r["page"], r["preview"], r["word_count"]) for r in live.restored(spark, paths[2]).collect()) == [(0, "zero", None), (1, "one", 4)]
 
 
+def test_mean_confidence_rounds_as_sql(spark):
+    import duckdb
+
+    from vellum.operators import ocr
+
+    # the sum of these tenths is just under a half; SQL scales it before it rounds
+    confs = [52.5, 17.6, 55.6, 65.8, 64.0, 49.9, 91.5, 34.9, 77.5, 72.7, 12.4, 99.8]
+    words = spark.createDataFrame([(1, c) for c in confs] + [(2, -1.0)], "doc_id int, conf double").coalesce(1)
+    want = duckdb.sql(f"SELECT round(avg(c), 1) FROM (SELECT unnest({confs}::DOUBLE[]) AS c) t").fetchall()[0][0]
+    assert [r["mean_conf"] for r in ocr.confidence(words).sort("doc_id").collect()] == [want, None]
+
+
 def test_chunk_documents(spark):
     jobs = spark.createDataFrame([(1, "f.pdf", "pdf", "bn", None, True, False, False, False, None), (2, "g", "csv", None, None, None, None, None, None, None)], "job_id int, filename string, file_type string, lang string, created_at string, preprocess boolean, use_layout boolean, make_searchable boolean, gen_toc boolean, preset string")
     chunks = spark.createDataFrame([(1, 2, "খ"), (1, 1, "ক")], "job_id int, chunk_id int, text string")

@@ -17,9 +17,13 @@ def valid(words: DataFrame) -> DataFrame:
 
 
 def confidence(words: DataFrame) -> DataFrame:
-    """doc_id, mean_conf (null without words), low_conf_count, n_words."""
+    """doc_id, mean_conf (null without words), low_conf_count, n_words.
+
+    The mean is scaled before it is rounded, as SQL does: round(v, 1) goes by the digits of v, which a sum of tenths leaves just
+    under a half.
+    """
     return words.groupBy("doc_id").agg(
-        F.round(F.avg(F.when(F.col("conf") >= 0, F.col("conf"))), 1).alias("mean_conf"),
+        (F.round(F.avg(F.when(F.col("conf") >= 0, F.col("conf"))) * 10) / 10).alias("mean_conf"),
         F.count_if((F.col("conf") >= 0) & (F.col("conf") < LOW_CONFIDENCE)).alias("low_conf_count"),
         F.count_if(F.col("conf") >= 0).alias("n_words"),
     )
