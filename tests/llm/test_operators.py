@@ -302,6 +302,19 @@ def test_fuzzy_passages(spark):
     assert found[0.95] == each and found[0.9] >= 0.98 * each and found[0.85] >= 0.92 * each and found[0.81] >= 0.75 * each, found
 
 
+def test_passages_with_words_put_between(spark):
+    rng = np.random.default_rng(7)
+    words_of = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    rows = []
+    for _ in range(60):
+        whole = words_of(108)
+        copy = [w for i in range(0, 108, 9) for w in (*whole[i : i + 9], f"new{i}")]
+        rows += [(len(rows) + j, " ".join(words_of(40) + p + words_of(40))) for j, p in enumerate((whole, copy))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id for r in substring.report(df).where("n_passages > 0").collect()}
+    assert len(found) >= 55 and all(i % 2 for i in found)
+
+
 def test_chain_takes_the_best_of_crossing_matches():
     x = np.array([0, 8, 16, 24, 30])
     y = np.array([100, 108, 40, 124, 132])
