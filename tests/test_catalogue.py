@@ -66,6 +66,12 @@ def test_text_queries_stay_in_the_jvm(spark):
         assert "Python" not in plan and "Arrow" not in plan, name
 
 
+def test_grids_read_words_once_and_compare_no_more_than_neighbouring_anchors(spark):
+    for name in ("grid_cells", "table_markdown"):
+        plan = catalogue.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan parquet") == 1 and "Join" not in plan and "anchors" not in plan, name
+
+
 def test_edges(spark):
     from pyspark.sql import functions as F
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions.markdown import cell_escape, html_escape
@@ -78,22 +78,41 @@ def columns_of(words: DataFrame) -> DataFrame:
     return cut.groupBy("doc_id", "col").agg(F.avg("x").alias("anchor"))
 
 
+def _placed(words: DataFrame) -> DataFrame:
+    """words with `row`, `own`: their cluster of x, and `col`: the column of the nearest anchor, the first of equals.
+
+    Clusters and anchors rise together, so the nearest anchor is that of the own cluster or of a neighbour. One shuffle, by page.
+    """
+    page = Window.partitionBy("doc_id")
+    down, across = page.orderBy("y", "line", "word"), page.orderBy("x", "line", "word")
+    fell, went = F.col("y") - F.lag("y").over(down), F.col("x") - F.lag("x").over(across)
+    sized = words.where("doc_id IS NOT NULL").withColumns({"_h": F.avg("height").over(page), "_w": F.avg("width").over(page)})
+    rows = sized.withColumn("_new", F.when(fell > ROW_GAP * F.col("_h"), 1).otherwise(0)).withColumn("row", F.sum("_new").over(down))
+    own = rows.withColumn("_new", F.when(went > COLUMN_GAP * F.col("_w"), 1).otherwise(0)).withColumn("own", F.sum("_new").over(across))
+    beside = lambda n: page.orderBy("own").rangeBetween(n, n)
+    at = own.withColumn("_at", F.avg("x").over(beside(0)))
+    at = at.withColumns({"_before": F.max("_at").over(beside(-1)), "_behind": F.max("_at").over(beside(1))})
+    far = lambda name: F.abs(F.col(name) - F.col("x"))
+    near = F.when(far("_before") <= F.least(far("_at"), far("_behind")), F.col("own") - 1).when(far("_behind") < far("_at"), F.col("own") + 1).otherwise(F.col("own"))
+    return at.withColumn("col", near).drop("_h", "_w", "_new", "_at", "_before", "_behind")
+
+
+def _cells(words: DataFrame, *more: Column) -> DataFrame:
+    return _placed(words).groupBy("doc_id", "row", "col").agg(F.expr("listagg(text, ' ') WITHIN GROUP (ORDER BY x, line, word)").alias("text"), *more)
+
+
 def cells(words: DataFrame) -> DataFrame:
     """doc_id, row, col, text: each word in the column of the nearest anchor, the first of equals; words in x order."""
-    anchors = columns_of(words).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("col", "anchor"))).alias("anchors"))
-    near = F.array_min(F.transform("anchors", lambda a: F.struct(F.abs(a["anchor"] - F.col("x")).alias("d"), a["col"].alias("col"))))["col"]
-    placed = rows_of(words).join(anchors, "doc_id").withColumn("col", near)
-    return placed.groupBy("doc_id", "row", "col").agg(F.expr("listagg(text, ' ') WITHIN GROUP (ORDER BY x, line, word)").alias("text"))
+    return _cells(words)
 
 
 def table_markdown(words: DataFrame) -> DataFrame:
     """doc_id, md: words as a pipe table, its first row the header; null under four words, two rows or two columns."""
-    grid = cells(words).withColumn("text", cell_escape(F.col("text")))
-    shape = columns_of(words).groupBy("doc_id").agg(F.count("*").cast("int").alias("n_cols"))
-    rows = grid.groupBy("doc_id", "row").agg(F.map_from_entries(F.collect_list(F.struct("col", "text"))).alias("found")).join(shape, "doc_id")
+    grid = _cells(words, F.max("own").alias("last"), F.count("*").alias("n")).withColumn("text", cell_escape(F.col("text")))
+    rows = grid.groupBy("doc_id", "row").agg(F.map_from_entries(F.collect_list(F.struct("col", "text"))).alias("found"), F.max("last").alias("last"), F.sum("n").alias("n"))
+    rows = rows.withColumn("n_cols", (F.max("last").over(Window.partitionBy("doc_id")) + 1).cast("int"))
     filled = F.transform(F.sequence(F.lit(0).cast("bigint"), (F.col("n_cols") - 1).cast("bigint")), lambda c: F.coalesce(F.element_at("found", c), F.lit("")))
     rule = F.concat(F.lit("\n| "), F.array_join(F.array_repeat(F.lit("---"), F.col("n_cols")), " | "), F.lit(" |"))
     line = F.concat(F.lit("| "), F.array_join(filled, " | "), F.lit(" |"), F.when(F.col("row") == 0, rule).otherwise(""))
-    tables = rows.withColumn("line", line).groupBy("doc_id").agg(F.expr("listagg(line, '\\n') WITHIN GROUP (ORDER BY row)").alias("md"), F.count("*").alias("n_rows"), F.max("n_cols").alias("n_cols"))
-    enough = words.groupBy("doc_id").agg(F.count("*").alias("n_words"))
-    return tables.join(enough, "doc_id").select("doc_id", F.when((F.col("n_words") >= 4) & (F.col("n_rows") >= 2) & (F.col("n_cols") >= 2), F.col("md")).alias("md"))
+    tables = rows.withColumn("line", line).groupBy("doc_id").agg(F.expr("listagg(line, '\\n') WITHIN GROUP (ORDER BY row)").alias("md"), F.count("*").alias("n_rows"), F.max("n_cols").alias("n_cols"), F.sum("n").alias("n_words"))
+    return tables.select("doc_id", F.when((F.col("n_words") >= 4) & (F.col("n_rows") >= 2) & (F.col("n_cols") >= 2), F.col("md")).alias("md"))
