@@ -72,6 +72,17 @@ def test_grids_read_words_once_and_compare_no_more_than_neighbouring_anchors(spa
         assert plan.count("FileScan parquet") == 1 and "Join" not in plan and "anchors" not in plan, name
 
 
+def test_boxes_of_one_place_make_one_page_in_whatever_order_they_come(spark):
+    from vellum.operators import layout
+
+    # parts 32,010 apart share x1 and, in bands of 10 to 14, the band: the SQL's order leaves those of one line number open
+    rows = [(1, 1, "text", x1, y1, x1 + w, y1 + 20, t, None, g, 1000, 520) for x1, y1, w, t, g in ((7, 2, 50, "a", None), (7, 3, 50, "b", None), (7, 2, 50, "c", None), (7, 2, 60, "a", None))]
+    rows += [(1, 1, "table", 7, 2, 57, 22, "a", None, g, 1000, 520) for g in ("| d |", "| e |")]
+    names = "page long, ord int, label string, x1 long, y1 long, x2 long, y2 long, text string, table string, grid string, width int, height int"
+    made = [tuple(layout.page_markdown(spark.createDataFrame(x, names).repartition(n), "page").head()) for x, n in ((rows, 1), (rows[::-1], 1), (rows[3:] + rows[:3], 4))]
+    assert made[0] == made[1] == made[2] and made[0][2] == 2 and sorted(made[0][1].split("\n\n")) == ["a", "a", "b", "c", "| d |", "| e |"]
+
+
 def test_edges(spark):
     from pyspark.sql import functions as F
 

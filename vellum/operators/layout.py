@@ -29,11 +29,11 @@ def heading(label: Column, text: Column) -> Column:
     return F.when(route(label) == "doc_title", F.concat(F.lit("# "), text)).when(route(label) == "title", F.concat(F.lit("## "), text)).otherwise(text)
 
 
-def in_reading_order(boxes: DataFrame, page: str) -> DataFrame:
-    """boxes with `place` from 1: by bands of half the mean height (8 at least), then x."""
+def in_reading_order(boxes: DataFrame, page: str, *content: str) -> DataFrame:
+    """boxes with `place` from 1: by bands of half the mean height (8 at least), then x, then ord; what is alike in these by its other corners and `content`."""
     of = Window.partitionBy(page)
     band = F.greatest(F.lit(8.0), 0.5 * F.avg(F.col("y2") - F.col("y1")).over(of))
-    return boxes.withColumn("band", F.rint(F.col("y1") / band)).withColumn("place", F.row_number().over(of.orderBy("band", "x1", "ord")))
+    return boxes.withColumn("band", F.rint(F.col("y1") / band)).withColumn("place", F.row_number().over(of.orderBy("band", "x1", "ord", "y1", "x2", "y2", *content)))
 
 
 def iou(a: Column, b: Column) -> Column:
@@ -64,9 +64,9 @@ def page_markdown(boxes: DataFrame, page: str) -> DataFrame:
     boxes: page, ord, label, x1, y1, x2, y2, what was read there as text, table and grid (Markdown of a table by its lines, else
     by the places of its words, or null), and the page's width and height. Regions of under 4 pixels a side after clamping are
     left out; figures are links to crops, numbered in reading order; a table without a grid is its text; a counter rises only for
-    what is put out.
+    what is put out. Boxes of one band, x1 and ord are told apart by all that can be seen of them, so rows in any order give the same page.
     """
-    placed = in_reading_order(boxes, page).withColumn("crop", clamped("x1", "y1", "x2", "y2", F.col("width"), F.col("height")))
+    placed = in_reading_order(boxes, page, "label", "text", "table", "grid").withColumn("crop", clamped("x1", "y1", "x2", "y2", F.col("width"), F.col("height")))
     kept = placed.where((F.col("crop.x2") - F.col("crop.x1") >= SMALLEST) & (F.col("crop.y2") - F.col("crop.y1") >= SMALLEST)).withColumn("kind", route(F.col("label")))
     nth = F.count_if(F.col("kind") == "figure").over(Window.partitionBy(page).orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
     text = F.nullif(F.trim("text"), F.lit(""))
