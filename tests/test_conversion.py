@@ -12,6 +12,7 @@ from vellum.functions import html
 from vellum.functions import markdown as md
 from vellum.operators import image, metrics
 from vellum.plans import catalogue
+from vellum.plans.fixtures import ocr_words
 from vellum.sources import files, office, sinks
 from vellum.streaming import live
 
@@ -115,6 +116,41 @@ def test_word_error_rate_query(spark):
     assert catalogue.queries()["word_error_rate"](spark, DATA).where("wer < 0 OR wer > 1 OR wer IS NULL").count() == 0
 
 
+def test_words_are_told_apart_and_counted_in_lines_of_any_length(spark):
+    import random
+
+    rng = random.Random(5)
+    edits = lambda a, b: metrics.edits(a.split(), b.split())
+    assert [edits(a, b) for a, b in (("", ""), ("a", ""), ("", "a b"), ("a b c", "a c"), ("a b", "b a"), ("a x c d", "a y c"))] == [0, 1, 2, 1, 2, 2]
+    for n, kinds in ((9, 3), (64, 5), (65, 40), (130, 200)):
+        a, b = ([rng.randrange(kinds) for _ in range(n - rng.randrange(4))] for _ in range(2))
+        row = list(range(len(b) + 1))
+        for i, v in enumerate(a):
+            new = [i + 1]
+            for j, w in enumerate(b):
+                new.append(min(row[j] + (v != w), row[j + 1] + 1, new[-1] + 1))
+            row = new
+        assert metrics.edits(a[:], b[:]) == metrics.edits(b[:], a[:]) == row[-1]
+    # a word before, and every hundredth another: a table of 20,000 by 20,000 places
+    words_ = [str(i) for i in range(20000)]
+    other = ["new"] + [w if i % 100 else "x" + w for i, w in enumerate(words_)]
+    rows = [(" ".join(words_), " ".join(other)), ("a  b ", "b"), ("", None), ("a", None), (None, "a"), (" ", "a")]
+    got = spark.createDataFrame(rows, "a string, b string").select(metrics.wer(F.col("a"), F.col("b"))).collect()
+    assert [r[0] for r in got] == [201 / 20000, 0.5, 1.0, None, None, 1.0]
+
+
+def test_lines_are_rated_where_they_stand_and_ids_on_several_rows_together(spark, tmp_path):
+    query = catalogue.queries()["word_error_rate"]
+    plan = query(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "listagg" not in plan and plan.count("Generate ") == 2  # lines only, here and of shared ids; no rows of words
+    docs = [(1, "a b\nc", ""), (2, "a b\n\nc  d", ""), (1, "e f g\nh\ni", ""), (None, "a", ""), (3, None, "")]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    words = ocr_words(spark, str(tmp_path)).where("conf >= 0").groupBy("doc_id", "line").agg(F.count("*").alias("n"), F.count_if(F.col("conf") >= 60).alias("sure"))
+    want = {(r["doc_id"], r["line"]): (r["n"] - r["sure"]) / r["n"] for r in words.collect()}
+    got = query(spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {(r["doc_id"], r["line"]): r["wer"] for r in got} == want
+
+
 def test_live_view_and_checkpoints(spark, tmp_path):
     row = lambda page, preview, t, n=None: json.dumps({"job_id": "j", "page": page, "preview": preview, "word_count": n, "updated_at": f"2024-01-01T00:00:0{t}Z"})
     src = tmp_path / "in"

@@ -7,13 +7,10 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import DoubleType, StringType
 
 from vellum.functions.markdown import SPACE, strip
 
-#: The first of the code points that stand for words; 0x10000 to 0x10FFFF are as many as a pair of texts may have distinct words.
-FIRST = 0x10000
-
 
 @F.pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
@@ -36,16 +33,55 @@ def cer(truth: Column, guess: Column) -> Column:
     return _rate(F.levenshtein(truth, guess), F.length(truth), F.length(guess))
 
 
-def wer(truth: Column, guess: Column) -> Column:
-    """Edits in words for each word of the truth: every distinct word becomes one character."""
-    words = lambda t: F.filter(F.split(t, " "), lambda w: w != "")
+def edits(a: list, b: list) -> int:
+    """Edit distance of two sequences: a bit a place, of a column of the table at a time, as integers of any length (Hyyrö's form of Myers' method)."""
+    if len(a) < len(b):
+        a, b = b, a
+    rest = iter(a)
+    if all(w in rest for w in b):  # what is only left out needs no table
+        return len(a) - len(b)
+    begin = next(i for i, (v, w) in enumerate(zip(a, [*b, None], strict=False)) if v != w)
+    a, b = a[begin:], b[begin:]
+    while b and a[-1] == b[-1]:
+        a.pop(), b.pop()
+    at: dict = {}
+    for i, w in enumerate(a):
+        at.setdefault(w, []).append(i)
+    known = {}
+    for w in set(b) & at.keys():
+        bits = bytearray(len(a) // 8 + 1)
+        for i in at[w]:
+            bits[i >> 3] |= 1 << (i & 7)
+        known[w] = int.from_bytes(bits, "little")
+    every, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    more, less, out = every, 0, len(a)
+    for w in b:
+        same = known.get(w, 0)
+        level = ((((same & more) + more) ^ more) | same | less) & every
+        right, back = less | every & ~(level | more), more & level
+        out += bool(right & last) - bool(back & last)
+        right, back = (right << 1 | 1) & every, back << 1 & every
+        more, less = back | every & ~(level | right), right & level
+    return out
+
+
+@F.pandas_udf(DoubleType())
+def _wer(truth: pd.Series, guess: pd.Series) -> pd.Series:
+    def rate(t, g):
+        if t is None:
+            return None
+        t = [w for w in t.split(" ") if w]
+        if g is None:
+            return None if t else 1.0
+        g = [w for w in g.split(" ") if w]
+        return edits(t, g) / len(t) if t else float(bool(g))
+
+    return pd.Series([rate(t, g) for t, g in zip(truth, guess, strict=True)], dtype="float64")
 
-    def coded(ws: Column, known: Column) -> Column:
-        one = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, w) - 1 + FIRST), 8, "0")), "UTF-32")
-        return F.array_join(F.transform(ws, one), "")
 
-    known = F.array_union(words(truth), words(guess))
-    return _rate(F.levenshtein(coded(words(truth), known), coded(words(guess), known)), F.size(words(truth)), F.size(words(guess)))
+def wer(truth: Column, guess: Column) -> Column:
+    """Edits in words, which blanks part, for each word of the truth."""
+    return _wer(truth, guess)
 
 
 def mean_by(rated: DataFrame, group: str, *rates: str) -> DataFrame:
