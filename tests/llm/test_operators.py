@@ -315,6 +315,34 @@ def test_passages_with_words_put_between(spark):
     assert len(found) >= 55 and all(i % 2 for i in found)
 
 
+def test_lone_matches_are_dropped_only_where_no_passage_can_be():
+    rng = np.random.default_rng(4)
+    found = 0
+    for i in range(600):
+        a, b = (rng.integers(0, 1 << 32, n, np.uint64) for n in rng.integers(50, 160, 2))
+        x, y = int(rng.integers(0, len(a) - 5)), int(rng.integers(0, len(b) - 5))
+        if i % 3:  # alike around the match but for some words, to either side as far as it goes
+            left, right = min(x, y, int(rng.integers(0, 60))), min(len(a) - x, len(b) - y, int(rng.integers(6, 66)))
+            same = rng.random(left + right) >= rng.choice([0, 0.1, 0.2, 0.25])
+            b[y - left : y + right] = np.where(same, a[x - left : x + right], b[y - left : y + right])
+        b[y : y + 6] = a[x : x + 6]
+        one = lambda v: np.array([v])
+        good = substring.align(a, one(0), one(len(a)), b, one(0), one(len(b)), one(0), one(1), one(x), one(y))[2][0]
+        may = substring.may_reach(*(substring._beside(substring._sketch(h), len(h), one(at)) for h, at in ((a, x), (b, y))))[0]
+        assert may or not good
+        found += int(good)
+        assert i % 3 or not may  # chance matches are
+    assert found > 50
+
+
+def test_a_match_alone_between_documents_asks_for_no_tiles():
+    of = lambda *v: np.array(v, np.int64)
+    made = substring._chains_of(of(5, 5, 5, 6), of(1, 2, 2, 1), of(9, 70, 74, 3), of(8, 0, 4, 3), True).to_pylist()
+    assert [(r["firsts"], r["tile_firsts"], r["lone_firsts"], r["lone_x"], r["lone_y"]) for r in made] == [([2], [2], [1], [9], [8]), ([], [], [1], [3], [3])]
+    made = substring._chains_of(of(5, 6), of(1, 1), of(9, 3), of(8, 3), True).to_pylist()
+    assert [(r["firsts"], r["x"], r["lone_x"]) for r in made] == [([], [], [9]), ([], [], [3])]
+
+
 def test_chain_takes_the_best_of_crossing_matches():
     x = np.array([0, 8, 16, 24, 30])
     y = np.array([100, 108, 40, 124, 132])
