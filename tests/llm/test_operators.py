@@ -96,6 +96,47 @@ def test_packing(spark, odd):
     assert packing.pack(empty(spark), JSON).count() == 0
 
 
+def test_words_met_end_with_their_task():
+    import gc
+    import weakref
+
+    gc.disable()
+    try:
+        encode = packing.encoding(JSON)
+        assert list(encode(["two words", "<|endoftext|> x"]))
+        words_met = [weakref.ref(c.cell_contents) for c in encode.__closure__ if isinstance(c.cell_contents, token_count.Words)]
+        assert words_met
+        del encode
+        assert [w() for w in words_met] == [None]
+    finally:
+        gc.enable()
+
+
+def test_packing_takes_texts_in_slices(spark, monkeypatch):
+    sizes, slices = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    pieces = packing._pieces
+
+    def watched(*args):
+        run = pieces(*args)
+
+        def each(batches):
+            for b in batches:
+                sizes.add(int(b["text"].fillna("").str.len().sum()))
+                slices.add(1)
+                yield b
+
+        return lambda batches: run(each(batches))
+
+    monkeypatch.setattr(packing, "_pieces", watched)
+    text = "word " * 60_000
+    docs = spark.createDataFrame([((1 << 60) + i if i % 3 else None, text) for i in range(12)], "doc_id long, text string").coalesce(1)
+    got = packing.pack(docs, JSON).toPandas()
+    assert sizes.value == 12 * len(text) and slices.value >= 3
+    # beside a null, no id is rounded
+    assert {r["doc_id"] for r in packing.pack(docs, JSON).collect()} == {None, *((1 << 60) + i for i in range(12) if i % 3)}
+    assert (got.ids_crc32[got.length == 1024].value_counts() > 1).any()
+
+
 def test_configurations_use_each_piece_once():
     rng = np.random.default_rng(2)
     hist = Counter(rng.integers(1, 1025, 20000).tolist())

@@ -20,12 +20,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.llm import segments, token_count
 from vellum.llm.durable import checkpointed
+from vellum.llm.mapping import over_texts
 
 #: Rounds of multiplicative weights, and the weight of a round.
 ROUNDS, STEP = 40, 0.5
@@ -69,7 +71,7 @@ def _pieces(path: str, capacity: int, end_id: int):
                     out.append((key, i, x, y - x, zlib.crc32(ids[4 * x : 4 * y]), seen[y - x]))
                     seen[y - x] += 1
             frame = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32", "nth"])
-            yield frame.assign(part=part)
+            yield frame.assign(doc_id=pd.Series([x[0] for x in out], dtype=object), part=part)  # as numbers, ids beside a null are rounded
 
     return run
 
@@ -188,23 +190,25 @@ def _places(confs: list[tuple[dict[int, int], int]], capacity: int) -> dict[int,
 def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, nth bigint, part int"
-    pieces = checkpointed(docs.select("doc_id", "text").mapInPandas(_pieces(path, capacity, end_id), schema))
+    pieces = checkpointed(over_texts(docs.select("doc_id", "text"), _pieces(path, capacity, end_id), schema))
     counts = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     hist = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     places = _places(configurations(hist, capacity), capacity)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seq, off = np.zeros(len(b), np.int64), np.zeros(len(b), np.int64)
-            for n, rows in b.groupby("length").indices.items():
+            length, nth, begin = (b.column(c).to_numpy() for c in ("length", "nth", "first"))
+            seq, off = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
+            for n, rows in pd.Series(length).groupby(length).indices.items():
                 begins, copies, base, offset = places[n]
-                i = (b["nth"].to_numpy()[rows] + b["first"].to_numpy()[rows]).astype(np.int64)
+                i = nth[rows] + begin[rows]
                 k = np.searchsorted(begins, i, side="right") - 1
                 at = i - begins[k]
                 seq[rows] = base[k] + at // copies[k]
                 off[rows] = offset[k] + at % copies[k] * n
-            yield b[["doc_id", "piece", "start", "length", "ids_crc32"]].assign(sequence_id=seq, offset=off)
+            kept = ["doc_id", "piece", "start", "length", "ids_crc32"]
+            yield pa.RecordBatch.from_arrays([*map(b.column, kept), pa.array(seq), pa.array(off)], [*kept, "sequence_id", "offset"])
 
-    return pieces.join(first, ["part", "length"]).mapInPandas(place, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
+    return pieces.join(first, ["part", "length"]).mapInArrow(place, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")

@@ -79,10 +79,11 @@ class Words:
             raise ValueError(f"{path}: only byte-level tokenizers without a normalizer are counted")
         self.byte_ids, self.table = bpe_tables.from_json(path)
         find = regex.compile(PATTERN).findall
-        self.special = {t["content"]: t["id"] for t in model["added_tokens"]}
-        if self.special:
-            cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")").split
-            self.find = lambda t: [w for i, part in enumerate(cut(t)) for w in ([part] if i % 2 else find(part))] if any(s in t for s in self.special) else find(t)
+        self.special = special = {t["content"]: t["id"] for t in model["added_tokens"]}
+        if special:
+            cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True)) + ")").split
+            # without self: a cycle would keep all words past the task, until Python happens to look for cycles
+            self.find = lambda t: [w for i, part in enumerate(cut(t)) for w in ([part] if i % 2 else find(part))] if any(s in t for s in special) else find(t)
         else:
             self.find = find
         self.numbers = Numbers(self.find)

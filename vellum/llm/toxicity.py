@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm import segments
+from vellum.llm.mapping import give_back
 
 BUCKETS = 1 << 17
 SIZE = 8
@@ -198,5 +199,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], score: str = "score"
         scorer = Scorer(*sent.value)  # what it keeps ends with the task
         for texts in batches:
             yield pd.Series(scorer(texts.fillna("").tolist()))
+        scorer = texts = None
+        give_back()
 
     return docs.withColumn(score, scored(F.col("text"))).withColumn(predicted, (F.col(score) >= 0.5).cast("int"))
