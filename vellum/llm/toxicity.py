@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm import segments
+from vellum.llm.durable import tidied
 from vellum.llm.mapping import give_back
 
 BUCKETS = 1 << 17
@@ -185,7 +186,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).where(F.col("text").isNotNull())
     # rows may share an id: one each keeps the sample within its bound
     each = sample.select("doc_id", "text", "toxic").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"))
-    return train((int(r["toxic"]), windows(r["text"])) for r in each.orderBy("doc_id").toLocalIterator())
+    tidied(docs.sparkSession)
+    model = train((int(r["toxic"]), windows(r["text"])) for r in each.orderBy("doc_id").toLocalIterator())
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], score: str = "score", predicted: str = "predicted") -> DataFrame:
