@@ -53,6 +53,35 @@ def test_bpe_round_trip(spark, odd):
     assert bpe.digest(empty(spark), RANKS, P.PATTERN).count() == 0
 
 
+def test_letters_and_marks_behind_them_are_split_without_the_pattern():
+    import sys
+
+    import public_tokenizers
+    import regex
+
+    from vellum.llm import bpe, segments
+    from vellum.llm.wordnumbers import Numbers
+
+    letters = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalpha())
+    assert regex.fullmatch(r"\p{L}+", letters) and regex.fullmatch(r"[^\s\p{L}\p{N}]+", bpe.MARKS)
+    find = regex.compile(public_tokenizers.PATTERN).findall
+    asked = []
+    numbers = Numbers(lambda s: asked.append(s) or find(s), bpe.MARKS)
+    plain = "ein Wört, größer. das_ 语言!! слово) a. A? ok$$$ word"
+    odd = plain + " don't 'sa' x's. .a ., 'll 12. a1, é\u0301. \nx, a\n. b-c d_e, ' '' \u00a0z. ,"
+    for text, of in ((plain, plain.split(" ")), (odd, None)):
+        asked.clear()
+        words: dict[int, str] = {}
+        ids = np.frombuffer(numbers.of(text), "<u4").tolist()
+        assert segments.split(text) is None or "".join(segments.split(text)) == text
+        known = getattr(numbers, "all", []) + numbers.new()
+        numbers.all = known
+        words = dict(enumerate(known))
+        assert [words[i] for i in ids] == find(text)
+        if of:
+            assert asked == []
+
+
 def test_bpe_of_long_words_and_decoding(spark):
     import tiktoken
     from pyspark.sql import functions as F

@@ -31,6 +31,8 @@ CACHE_BYTES = 128 << 20
 #: Documents travel to the JVM in bundles of about so many characters, with their new words.
 BUNDLE_CHARS = 1 << 20
 BUNDLE = "keys array<bigint>, numbers array<binary>, reset boolean, words array<array<int>>"
+#: A run of these behind letters is one pre-token. The apostrophe is not among them, as letters can follow it in one.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: No symbol: beyond either end of a word; and the owner of empty slots. Ids are below both.
 NOTHING, UNOWNED = 0xFFFF, 0xFFFE
 #: A byte's neighbour is a byte or, at the end, 256.
@@ -98,7 +100,7 @@ def _leftmost(word: Column, tables: tuple[Column, Column, Column]) -> Column:
                 left = F.shiftleft(_rank(own(before), new, tables), 31).bitwiseOR(before.bitwiseAND(low))
                 joined = F.shiftleft(_rank(new, own(after), tables), 31).bitwiseOR(m.bitwiseAND(F.lit(0x7FFF << 16))).bitwiseOR(new)
                 placed = F.transform(s, lambda x, i: F.when(i > at, x).when(i < at - 2, x).when(i == at - 1, joined).when(i == at, F.lit(-1).cast("bigint")).otherwise(left))
-                return F.filter(placed, lambda x: x >= 0)
+                return F.array_remove(placed, F.lit(-1).cast("bigint"))
 
             return F.when(m >= none, s).otherwise(_let(F.array_position(s, m).cast("int"), put))
 
@@ -160,7 +162,7 @@ def _bundles(pattern: str):
         import regex
 
         find = regex.compile(pattern).findall
-        known = Numbers(find)
+        known = Numbers(find, MARKS)
         keys: list = []
         numbers: list[bytes] = []
         n, reset = 0, True
@@ -182,7 +184,7 @@ def _bundles(pattern: str):
                     yield flush()
                     keys, numbers, n, reset = [], [], 0, False
                     if known.bytes > CACHE_BYTES:
-                        known, reset = Numbers(find), True
+                        known, reset = Numbers(find, MARKS), True
         if keys:
             yield flush()
 

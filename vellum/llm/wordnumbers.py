@@ -11,12 +11,13 @@ class Numbers(dict):
     """segment -> the numbers of its words, as little-endian unsigned 32-bit integers; new words are numbered as they come.
 
     `find` splits any text into words. What is kept takes about `bytes` bytes; a caller that finds this beyond
-    `segments.CACHE_BYTES` begins anew.
+    `segments.CACHE_BYTES` begins anew. `marks` are characters of which a run behind letters is one word; with any, letters
+    of all scripts, with a blank before them or without, are one word as well.
     """
 
-    def __init__(self, find: Callable[[str], list[str]]) -> None:
+    def __init__(self, find: Callable[[str], list[str]], marks: str = "") -> None:
         super().__init__()
-        self.find, self.inner, self.fresh, self.count, self.chars = find, {}, [], 0, 0
+        self.find, self.marks, self.inner, self.fresh, self.count, self.chars = find, marks, {}, [], 0, 0
 
     @property
     def bytes(self) -> int:
@@ -39,9 +40,11 @@ class Numbers(dict):
 
     def __missing__(self, segment: str) -> bytes:
         self.chars += len(segment)
+        word = segment.rstrip(self.marks)
         # letters of ASCII are one word, with a blank before them or without
-        if segment.isascii() and segment[1:].isalpha() and (segment[0] == " " or segment[0].isalpha()):
-            whole = True
+        if (self.marks or segment.isascii()) and word[1:].isalpha() and (word[0] == " " or word[0].isalpha()):
+            whole = len(word) == len(segment)
+            found = (word, segment[len(word) :])
         else:
             found = self.find(segment)
             whole = len(found) == 1 and found[0] == segment
