@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import public_tokenizers as P
 import pytest
 
@@ -650,3 +651,34 @@ def test_pseudonyms_of_long_and_odd_rows(spark):
     got = out.collect()
     assert {r.n for r in got} == {1} and got[0].text == got[1].text and got[0].text.split()[-1] == got[2].text and len(got[0].text) == len(long)
     assert pii.replace(empty(spark), "key").count() == 0
+
+
+def test_passages_whose_seeds_all_stand_first_in_other_documents(spark):
+    rng = np.random.default_rng(5)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+    passage = word(108)
+    rows = [(i, " ".join(word(30) + passage[12 * i : 12 * i + 30] + word(30))) for i in range(9)]
+    changed = [w if i % 13 != 12 else f"x{i}" for i, w in enumerate(passage)]
+    longer = [v for i, w in enumerate(passage) for v in ([w] if i % 13 != 12 else [w, f"y{i}"])]
+    rows += [(20, " ".join(word(70) + passage + word(70))), (21, " ".join(word(40) + changed + word(90))), (22, " ".join(word(55) + longer + word(20)))]
+    out = {r["doc_id"]: r for r in substring.report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert all(out[i]["n_passages"] == 0 for i in [*range(9), 20])
+    assert 20 in out[21]["partners"] and out[21]["cut_words"] >= 100
+    assert 20 in out[22]["partners"] and out[22]["cut_words"] >= 100
+
+
+def test_places_of_common_seeds_are_compared_without_loss():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        n = int(rng.integers(50, 97))
+        at = int(rng.integers(max(0, n - substring.K - substring.REACH), min(substring.REACH, n - substring.K) + 1))
+        a = rng.integers(0, 40, n)
+        b = a.copy()
+        outside = np.setdiff1d(np.arange(n), np.arange(at, at + substring.K))
+        b[rng.choice(outside, n // 5, replace=False)] += 50
+        near = []
+        for h, before in ((a, int(rng.integers(0, 30))), (b, int(rng.integers(0, 30)))):
+            h = np.append(rng.integers(100, 200, before), h).astype(np.uint64)
+            frame = {"doc": [1], "n": [len(h)], "sketch": [substring._sketch(h)], "seeds": [np.array([7])], "pos": [np.array([at + before])], "held": [None]}
+            near.append(np.frombuffer(next(substring._surroundings([pd.DataFrame(frame)]))["near"][0], np.uint8)[None])
+        assert (substring._pairs_of(near[0], substring.REACH, True) @ substring._pairs_of(near[1], substring.SEEN, False).T)[0, 0] >= substring.LEAST
