@@ -22,12 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm import bpe_tables, segments
+from vellum.llm.mapping import give_back
 from vellum.llm.wordnumbers import Numbers
 
 #: Words longer than this merge all places of a pair at once instead of the leftmost.
 LONG_WORD = 64
 #: What a task may keep of words; folding them again takes longer than counting them does.
-CACHE_BYTES = 128 << 20
+CACHE_BYTES = 96 << 20
 #: Documents travel to the JVM in bundles of about so many characters, with their new words.
 BUNDLE_CHARS = 1 << 20
 BUNDLE = "keys array<bigint>, numbers array<binary>, reset boolean, words array<array<int>>"
@@ -187,6 +188,8 @@ def _bundles(pattern: str):
                         known, reset = Numbers(find, MARKS), True
         if keys:
             yield flush()
+        known = keys = numbers = batch = texts = None
+        give_back()
 
     return run
 
@@ -230,6 +233,8 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out_bytes.append(b"".join(map(bytes_of.__getitem__, own)))
             n = pa.array([len(x) // 4 for x in out_ids], pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(keys.as_py(), pa.int64()), n, pa.array(out_ids, pa.binary()), pa.array(out_bytes, pa.binary())], ["key", "n_tokens", "ids", "decoded"])
+    ids_of = bytes_of = out_ids = out_bytes = batch = ids = spelled = None
+    give_back()
 
 
 def encode(docs: DataFrame, key: str, text: str, ranks_path: str, pattern: str) -> DataFrame:
