@@ -682,3 +682,66 @@ def test_places_of_common_seeds_are_compared_without_loss():
             frame = {"doc": [1], "n": [len(h)], "sketch": [substring._sketch(h)], "seeds": [np.array([7])], "pos": [np.array([at + before])], "held": [None]}
             near.append(np.frombuffer(next(substring._surroundings([pd.DataFrame(frame)]))["near"][0], np.uint8)[None])
         assert (substring._pairs_of(near[0], substring.REACH, True) @ substring._pairs_of(near[1], substring.SEEN, False).T)[0, 0] >= substring.LEAST
+
+
+def _around(h, at, seed=7, doc=1, loose=True):
+    """The row of `_surroundings` of a place."""
+    frame = {"doc": [doc], "n": [len(h)], "sketch": [substring._sketch(h)], "seeds": [np.array([seed])], "pos": [np.array([at])], "held": [None]}
+    return next(substring._surroundings([pd.DataFrame(frame)])).assign(own=loose, salt=0)
+
+
+def test_no_place_that_a_passage_goes_through_is_dropped():
+    rng = np.random.default_rng(5)
+    one = lambda v: np.array([v])
+    passed = dropped = 0
+    for i in range(600):
+        a = rng.integers(0, 1 << 63, int(rng.integers(50, 130)), dtype=np.int64).astype(np.uint64)
+        x = int(rng.integers(0, len(a) - substring.K + 1))
+        share = rng.uniform(0, 0.35)
+        b, y = [], 0
+        for j, w in enumerate(a):
+            if j == x:
+                y = len(b)
+            if x <= j < x + substring.K or rng.random() >= share:
+                b.append(w)
+            elif rng.random() < 0.8:
+                b.append(np.uint64(rng.integers(0, 1 << 62)))
+        b = np.concatenate([rng.integers(0, 1 << 62, i % 40, dtype=np.int64).astype(np.uint64), np.array(b, np.uint64)])
+        y += i % 40
+        good = substring.align(a, one(0), one(len(a)), b, one(0), one(len(b)), one(0), one(1), one(x), one(y))[2][0]
+        near = [np.frombuffer(_around(h, at)["near"][0], np.uint8)[None] for h, at in ((a, x), (b, y))]
+        may = substring.may_pass(*near)[0]
+        assert may or not good
+        passed += good
+        dropped += not may
+    assert passed > 50
+    assert dropped > 50
+
+
+def test_places_that_no_passage_goes_through_are_not_put_out():
+    rng = np.random.default_rng(6)
+    text = lambda n: rng.integers(0, 1 << 63, n, dtype=np.int64).astype(np.uint64)
+    line = text(36)
+    # a line of 36 words between others is in 20 documents, and no passage of 50 words is
+    rows = [_around(np.concatenate([text(60), line, text(60)]), 75, doc=i) for i in range(20)]
+    out = list(substring._alike([pd.concat(rows)]))
+    assert sum(map(len, out)) == 0
+
+
+def test_places_alike_are_compared_with_the_first_of_them():
+    rng = np.random.default_rng(7)
+    whole = rng.integers(0, 1 << 63, 160, dtype=np.int64).astype(np.uint64)
+    changed = whole.copy()
+    changed[60] = 1
+    kinds = [whole, changed]
+    rows = [_around(kinds[i % 2], 75, doc=i) for i in range(40)]
+    out = pd.concat(substring._alike([pd.concat(rows)]))
+    # the second kind's first is compared with the first kind's, all others with the first of their own
+    assert sorted(zip(out["doc"], out["first"], strict=True)) == [(1, 0), *((i, i % 2) for i in range(2, 40))]
+
+
+def test_places_of_texts_said_over_and_over():
+    of, doc = np.array([0, 1, 0, 0, 1, 0]), np.array([1, 1, 1, 2, 2, 2])
+    nth, many = substring._copies(of, doc)
+    assert nth.tolist() == [0, 0, 1, 0, 0, 1]
+    assert many.tolist() == [2, 1, 2, 2, 1, 2]
