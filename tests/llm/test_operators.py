@@ -745,3 +745,13 @@ def test_places_of_texts_said_over_and_over():
     nth, many = substring._copies(of, doc)
     assert nth.tolist() == [0, 0, 1, 0, 0, 1]
     assert many.tolist() == [2, 1, 2, 2, 1, 2]
+
+
+def test_ranks_are_rows_of_plain_numbers(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(1, "plain numbers"), (2, None)], "doc_id long, text string")
+    plan = bpe.encode(docs, "doc_id", "text", P.path("byte_bpe_50k.tiktoken"), P.PATTERN)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan
+    literals, (ranked, names) = bpe.rank_map(P.path("byte_bpe_50k.tiktoken")), bpe.with_ranks(spark.range(1), P.path("byte_bpe_50k.tiktoken"))
+    assert ranked.select(*(F.col(n) == x for n, x in zip(names, literals, strict=True))).first() == (True, True, True)

@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding with Spark higher-order functions.
 
 Texts become runs of word numbers; words not met before in a task go to the JVM as byte arrays.
-There a fold merges, round by round, the adjacent pair of lowest rank, looked up in a literal rank
-map, until no pair has a rank, and each word's ids are decoded by concatenating binary pieces. Python
+There a fold merges, round by round, the adjacent pair of lowest rank, looked up in arrays of ranks
+beside every row, until no pair has a rank, and each word's ids are decoded by concatenating binary pieces. Python
 around it only splits texts into words, once, and strings the words' ids and bytes together. Nothing
 is shuffled. A task holds at most `CACHE_BYTES` of words; then it numbers them anew.
 
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm import bpe_tables, segments
+from vellum.llm import bpe_tables, rows, segments
 from vellum.llm.mapping import give_back
 from vellum.llm.wordnumbers import Numbers
 
@@ -44,8 +44,8 @@ def _literal(values: list, kind: str) -> Column:
     return F.from_json(F.lit("[" + ",".join(map(str, values)) + "]"), f"array<{kind}>")
 
 
-def rank_map(path: str) -> tuple[Column, Column, Column]:
-    """Literals: byte and the next -> their rank and the first's id, as a symbol; id -> displacement; slot -> left id * 2^16 + rank."""
+def _numbers(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte and the next -> their rank and the first's id, as a symbol; id -> displacement; slot -> left id * 2^16 + rank."""
     _, byte_ids, (d, owner, ranks) = bpe_tables.from_ranks(path)
     assert len(d) <= UNOWNED
     wide = np.zeros(NOTHING + 1, np.int64)
@@ -56,7 +56,23 @@ def rank_map(path: str) -> tuple[Column, Column, Column]:
     ids = np.append(byte_ids, NOTHING).astype(np.int64)
     ranks_of = packed[wide[ids[:256, None]] + ids[None, :]] ^ (ids[:256, None] << 16)
     symbols = (ranks_of << 31) | ids[:256, None]
-    return _literal(symbols.ravel().tolist(), "bigint"), _literal(wide.tolist(), "int"), _literal(packed.tolist(), "bigint")
+    return symbols.ravel(), wide.astype(np.int32), packed
+
+
+def rank_map(path: str) -> tuple[Column, Column, Column]:
+    """What `_numbers` gives, as literals."""
+    symbols, wide, packed = (x.tolist() for x in _numbers(path))
+    return _literal(symbols, "bigint"), _literal(wide, "int"), _literal(packed, "bigint")
+
+
+def with_ranks(df: DataFrame, path: str) -> tuple[DataFrame, list[str]]:
+    """(df with what `_numbers` gives in every row, its columns' names).
+
+    Arrays of a row hold plain numbers side by side; those of a literal are an object a number, which takes far longer to look up.
+    """
+    names = [rows.fresh(df, n) for n in ("symbols", "displacements", "ranks")]
+    one = pa.table({n: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x)) for n, x in zip(names, _numbers(path), strict=True)})
+    return df.crossJoin(F.broadcast(df.sparkSession.createDataFrame(one))), names
 
 
 def pairs(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -201,13 +217,6 @@ def _sliced(items: pa.Array) -> list[bytes]:
     return [bytes(data[a:b]) for a, b in zip(offsets, offsets[1:], strict=False)]
 
 
-def _sliced(items: pa.Array) -> list[bytes]:
-    """The elements of an array of binaries without nulls."""
-    offsets = np.frombuffer(items.buffers()[1], np.int32)[items.offset : items.offset + len(items) + 1].tolist()
-    data = memoryview(items.buffers()[2]) if len(items) else b""
-    return [bytes(data[a:b]) for a, b in zip(offsets, offsets[1:], strict=False)]
-
-
 def _packed(ids: pa.ListArray) -> list[bytes]:
     """Each array of ids as little-endian unsigned 32-bit integers."""
     flat = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
@@ -240,7 +249,8 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def encode(docs: DataFrame, key: str, text: str, ranks_path: str, pattern: str) -> DataFrame:
     """key, n_tokens, ids (binary, little-endian unsigned 32-bit), decoded (binary) of each row."""
     bundles = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).mapInArrow(_bundles(pattern), BUNDLE)
-    coded = bundles.withColumn("ids", encode_all(F.col("words"), rank_map(ranks_path))).drop("words")
+    ranked, tables = with_ranks(bundles, ranks_path)
+    coded = ranked.withColumn("ids", encode_all(F.col("words"), tuple(map(F.col, tables)))).drop("words", *tables)
     spelled = coded.withColumn("spelled", decode_all(F.col("ids"), pieces(ranks_path)))
     return spelled.mapInArrow(_assemble, "key bigint, n_tokens bigint, ids binary, decoded binary")
 
