@@ -35,3 +35,28 @@ def test_the_drivers_garbage_is_collected_after_tables_are_written(spark, monkey
     monkeypatch.setattr(durable, "tidied", done.append)
     assert durable.stored(spark.range(3)).count() == durable.checkpointed(spark.range(3)).count() == 3
     assert len(done) == 3
+
+
+def test_the_driver_returns_memory_freed_outside_its_heap(spark, monkeypatch):
+    import re
+
+    from vellum.llm import durable
+
+    pid = spark._jvm.java.lang.ProcessHandle.current().pid()
+
+    def held():
+        with open(f"/proc/{pid}/smaps_rollup") as f:
+            return int(re.search(r"\nPss_Anon:\s+(\d+)", f.read())[1]) / 1024
+
+    monkeypatch.setattr(durable, "give_back", lambda: None)
+    packers = [spark._jvm.java.util.zip.Deflater() for _ in range(2000)]
+    for x in packers[:-1]:  # the last keeps the others' room from going by itself
+        x.end()
+    for _ in range(4):  # so that the heap is as small as it gets
+        spark._jvm.java.lang.System.gc()
+    before = held()
+    monkeypatch.setattr(durable, "_last", float("-inf"))
+    durable.tidied(spark)
+    after = held()
+    packers[-1].end()
+    assert after < before - 50, (before, after)
