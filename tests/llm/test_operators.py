@@ -414,6 +414,19 @@ def test_a_match_alone_between_documents_asks_for_no_tiles():
     assert [(r["firsts"], r["x"], r["lone_x"]) for r in made] == [([], [], [9]), ([], [], [3])]
 
 
+def test_passages_leave_no_table_that_none_reads_again(spark, tmp_path, monkeypatch):
+    from vellum.llm import durable, substring
+
+    monkeypatch.setattr(durable, "folder", lambda _: str(tmp_path))
+    shared = [f"s{i}" for i in range(80)]
+    texts = [" ".join([f"{d}w{i}" for i in range(90)] + shared + [f"{d}v{i}" for i in range(90)]) for d in range(4)]
+    found = substring.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert [r["cut_words"] for r in found.orderBy("doc_id").collect()] == [0, 80, 80, 80]
+    names = {n for at in tmp_path.iterdir() for n in spark.read.parquet(str(at)).columns}
+    assert "spans" in names and not names & {"places", "words", "seed", "shared", "held"}
+    assert found.count() == 4
+
+
 def test_chain_takes_the_best_of_crossing_matches():
     x = np.array([0, 8, 16, 24, 30])
     y = np.array([100, 108, 40, 124, 132])
